@@ -10,6 +10,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geofold.llm import pieces
+
+    out = pieces.encode(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", F.size("piece_ids").alias("n_pieces"), "exact", "piece_ids")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geofold.llm import sharding
 
@@ -17,6 +24,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geofold.llm import warc
+
+    out, _ = warc.deduplicate(_read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geofold.llm import simhash
 
@@ -31,11 +45,24 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op6_sharding, op9_simhash, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op6_sharding, op7_warc, op9_simhash, op10_decontaminate)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+_BITS = "sha1(coalesce(html, ''))"
+for _i, _c in enumerate("0123456789abcdef"):  # bits are written as x and y, so that no digit is replaced twice
+    _BITS = f"replace({_BITS}, '{_c}', '{format(_i, '04b').translate({48: 'x', 49: 'y'})}')"
+
 ORACLE = {
+    "op7_warc": f"""
+WITH b AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, translate({_BITS}, 'xy', '01') AS bits FROM pages),
+d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
+        + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+        + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT), 1)), '') AS payload_digest FROM b),
+t AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM t
+""",
     "op10_decontaminate": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
