@@ -17,6 +17,13 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("piece_ids").alias("n_pieces"), "exact", "piece_ids")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geofold.llm import suffix_array
+
+    out = suffix_array.remove_repeats(_read(spark, sf_dir, "documents"), keep_text=False)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geofold.llm import toxicity
 
@@ -63,7 +70,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op5_toxicity, op6_sharding, op7_warc, op8_suffix_tree, op9_simhash, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op2_sentencepiece, op4_suffix_dedup, op5_toxicity, op6_sharding, op7_warc, op8_suffix_tree, op9_simhash, op10_decontaminate)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
