@@ -108,6 +108,31 @@ def count_block(text: pa.ChunkedArray, train: np.ndarray) -> list[tuple[int, np.
     return [(kind, *m) for kind, parts in ((WORD, words), (GRAM, grams)) for m in merged(parts)]
 
 
+def _mask(k: int):
+    """Keeps a start and the last k bytes of its context."""
+    return _U((1 << (8 * k + 24)) - 1)
+
+
+def _name(ctx: np.ndarray, k: int) -> np.ndarray:
+    return ctx << _U(3) | _U(k)
+
+
+class _Level:
+    """Counts of one context length: keys in order, and their contexts with sums and numbers of starts."""
+
+    def __init__(self, key: np.ndarray, n: np.ndarray):
+        self.key, self.n = key, n
+        ctx = key >> _U(24)
+        self.first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.kinds = np.diff(np.append(self.first, len(key)))
+        self.ctx = ctx[self.first]
+        self.sums = np.add.reduceat(n, self.first) if len(key) else np.zeros(0, np.int64)
+        self.of = np.repeat(np.arange(len(self.first), dtype=np.int32), self.kinds)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.key, keys)
+
+
 class Tree:
     """The kept contexts as one open hash table of log probabilities and back-off weights.
 
@@ -115,68 +140,52 @@ class Tree:
     """
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, size: np.ndarray):
-        tables: dict[int, dict[int, int]] = {0: {}}
-        for g, n, k in zip(grams.tolist(), counts.tolist(), size.tolist()):
-            tables.setdefault(self._name(g >> 24, k), {})[g & 0xFFFFFF] = n
-        self.total = sum(tables[0].values())
-        self.starts = np.array(sorted(tables[0]), np.int64)
-        self.start_counts = np.array([tables[0][s] for s in self.starts.tolist()], np.int64)
-        probs = {0: {s: n / self.total for s, n in tables[0].items()}}
-        back: dict[int, float] = {}
-        kept = self._kept(tables)
-        for name in sorted(kept - {0}, key=lambda x: x & 7):
-            t = tables[name]
-            total, kinds = sum(t.values()), len(t)
-            back[name] = kinds / (total + kinds)
-            up = self._suffix(name)
-            probs[name] = {s: n / (total + kinds) + back[name] * self._prob(probs, back, up, s) for s, n in t.items()}
-        keys = [self._slot(name, s) for name, t in probs.items() for s in t] + [self._slot(name, 1 << 24) for name in back]
-        vals = [math.log(p) for t in probs.values() for p in t.values()] + [math.log(b) for b in back.values()]
-        self._index(np.array(keys, _U), np.array(vals))
-
-    @staticmethod
-    def _name(ctx: int, k: int) -> int:
-        return ctx << 3 | k
-
-    @classmethod
-    def _suffix(cls, name: int) -> int:
-        k = name & 7
-        return cls._name((name >> 3) & ((1 << (8 * (k - 1))) - 1), k - 1)
+        levels = []
+        for k in range(DEPTH + 1):
+            pick = np.flatnonzero(size == k)
+            pick = pick[np.argsort(grams[pick])]
+            levels.append(_Level(grams[pick], counts[pick]))
+        root = levels[0]
+        self.total = int(root.n.sum())
+        self.starts, self.start_counts = root.key.astype(np.int64), root.n
+        kept = self._kept(levels)
+        keys, vals = [root.key], [np.log(root.n / max(1, self.total))]
+        prob = root.n / max(1, self.total)
+        for k in range(1, DEPTH + 1):
+            v = levels[k]
+            share = v.kinds / (v.sums + v.kinds)
+            up = levels[k - 1].find(v.key & _mask(k - 1))
+            prob = v.n / (v.sums + v.kinds)[v.of] + share[v.of] * prob[up] if len(v.key) else np.zeros(0)
+            use = kept[k][v.of]
+            keys += [(_name(v.key[use] >> _U(24), k) << _U(25)) | (v.key[use] & _U(0xFFFFFF)), (_name(v.ctx[kept[k]], k) << _U(25)) | _U(1 << 24)]
+            vals += [np.log(prob[use]), np.log(share[kept[k]])]
+        self._index(np.concatenate(keys), np.concatenate(vals).astype(np.float32))
 
     @staticmethod
-    def _slot(name: int, start: int) -> int:
-        return name << 25 | start
-
-    @classmethod
-    def _prob(cls, probs, back, name, start) -> float:
-        scale = 1.0
-        while start not in probs[name]:
-            scale *= back[name]
-            name = cls._suffix(name)
-        return scale * probs[name][start]
-
-    @classmethod
-    def _kept(cls, tables) -> set[int]:
-        """Names of the root, of contexts that diverge from their suffix, and of the suffixes of those."""
-        sums = {name: sum(t.values()) for name, t in tables.items()}
-        kept = {0}
-        for name, t in tables.items():
-            if name & 7 == 0:
+    def _kept(levels) -> list[np.ndarray]:
+        """For each length, the contexts that diverge from their suffix, and the suffixes of those."""
+        kept = [np.ones(len(levels[0].ctx), bool)]
+        for k in range(1, DEPTH + 1):
+            v, above = levels[k], levels[k - 1]
+            if not len(v.key):
+                kept.append(np.zeros(0, bool))
                 continue
-            up = cls._suffix(name)
-            above, total, whole = tables[up], sums[name], sums[up]
-            if sum(n / total * math.log(n / total * whole / above[s]) for s, n in t.items()) >= DIVERGENCE:
-                while name not in kept:
-                    kept.add(name)
-                    name = cls._suffix(name)
+            up = above.find(v.key & _mask(k - 1))
+            p = v.n / v.sums[v.of]
+            q = above.n[up] / above.sums[above.of[up]]
+            kept.append(np.add.reduceat(p * np.log(p / q), v.first) >= DIVERGENCE)
+        for k in range(DEPTH, 1, -1):
+            v = levels[k]
+            at = np.searchsorted(levels[k - 1].ctx, v.ctx[kept[k]] & _U((1 << (8 * (k - 1))) - 1))
+            kept[k - 1][at] = True
         return kept
 
     def _index(self, keys: np.ndarray, vals: np.ndarray) -> None:
         """Two tables of one probe each, and a sorted rest."""
-        bits = max(10, int(len(keys) * 2).bit_length())
-        self.shift = _U(64 - bits)
-        self.slots = []
-        for salt in (1, 2):
+        self.slots, self.shifts = [], []
+        for salt in (0, 1):
+            bits = max(10, int(len(keys)).bit_length() + 1 - salt)
+            self.shifts.append(_U(64 - bits))
             k, v = np.zeros(1 << bits, _U), np.zeros(1 << bits, np.float32)
             at = self._hash(keys, salt)
             k[at], v[at] = keys, vals
@@ -184,19 +193,19 @@ class Tree:
             self.slots.append((k, v))
             keys, vals = keys[~won], vals[~won]
         order = np.argsort(keys)
-        self.rest = keys[order], vals[order].astype(np.float32)
+        self.rest = keys[order], vals[order]
 
     def _hash(self, keys, salt):
-        return (((keys ^ (keys >> _U(29))) * _U(_MULT[salt - 1])) >> self.shift).astype(np.int64)
+        return (((keys ^ (keys >> _U(29))) * _U(_MULT[salt])) >> self.shifts[salt]).astype(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(whether held, value) of slot keys."""
-        at = self._hash(keys, 1)
+        at = self._hash(keys, 0)
         ok = self.slots[0][0][at] == keys
         val = np.where(ok, self.slots[0][1][at], np.float32(0))
         miss = np.flatnonzero(~ok)
         if len(miss):
-            at = self._hash(keys[miss], 2)
+            at = self._hash(keys[miss], 1)
             hit = self.slots[1][0][at] == keys[miss]
             ok[miss[hit]] = True
             val[miss[hit]] = self.slots[1][1][at[hit]]
@@ -222,7 +231,7 @@ class Tree:
             todo, name = todo[~ok], name[~ok]
             if not len(todo):
                 return out
-            held, weight = self.find(name | _U(1 << 24))
+            held, weight = self.find(name | _U(1 << 24)) if k else (np.zeros(len(todo), bool), 0)
             out[todo] += np.where(held, weight, 0)
         out[todo] = -math.inf
         return out
@@ -295,8 +304,8 @@ def learn(grams: DataFrame, least: float = LEAST) -> Tree:
     out = levels[0]
     for level in levels[1:]:
         out = out.unionAll(level)
-    t = out.toPandas()
-    return Tree(t["key"].to_numpy(dtype=np.int64).astype(_U), t["n"].to_numpy(dtype=np.int64), t["size"].to_numpy(dtype=np.int64))
+    t = out.toArrow()
+    return Tree(t["key"].to_numpy().view(_U), t["n"].to_numpy(), t["size"].to_numpy())
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, least: float = LEAST) -> DataFrame:
