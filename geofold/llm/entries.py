@@ -24,6 +24,12 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("piece_ids").alias("n_pieces"), "exact", "piece_ids")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from geofold.llm import licenses
+
+    return licenses.summary(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from geofold.llm import suffix_array
 
@@ -77,7 +83,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_sentencepiece, op4_suffix_dedup, op5_toxicity, op6_sharding, op7_warc, op8_suffix_tree, op9_simhash, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_sentencepiece, op3_licenses, op4_suffix_dedup, op5_toxicity, op6_sharding, op7_warc, op8_suffix_tree, op9_simhash, op10_decontaminate)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -85,7 +91,29 @@ _BITS = "sha1(coalesce(html, ''))"
 for _i, _c in enumerate("0123456789abcdef"):  # bits are written as x and y, so that no digit is replaced twice
     _BITS = f"replace({_BITS}, '{_c}', '{format(_i, '04b').translate({48: 'x', 49: 'y'})}')"
 
+def _templates() -> str:
+    from geofold.llm.licenses import TEMPLATES
+
+    quoted = [f"({i}, '{name}', '{text.replace(chr(39), chr(39) * 2)}')" for i, (name, text) in enumerate(TEMPLATES)]
+    return ", ".join(quoted)
+
+
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
 ORACLE = {
+    "op3_licenses": f"""
+WITH tpl(template, license, text) AS (VALUES {_templates()}),
+tw AS (SELECT template, license, regexp_extract_all(lower(text), {_WORDS}) AS w FROM tpl),
+ts AS (SELECT DISTINCT template, license, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT *, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS i FROM tw)),
+tm AS (SELECT template, license, count(*) AS m, CAST(pow(2, ceil(log2(count(*)) - 1e-9)) AS BIGINT) AS c FROM ts GROUP BY template, license),
+t AS (SELECT template, license, sh, m, c FROM ts JOIN tm USING (template, license)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(lower(coalesce(text, '')), {_WORDS}) AS w FROM documents),
+g AS (SELECT rid, i - 1 AS pos, array_to_string(w[i:i + 4], ' ') AS sh FROM (SELECT rid, w, unnest(range(1, CAST(len(w) - 3 AS BIGINT))) AS i FROM d WHERE len(w) >= 5)),
+h AS (SELECT rid, template, license, m, g.sh, unnest([pos // c, pos // c - 1]) AS k FROM g JOIN t ON g.sh = t.sh),
+x AS (SELECT rid, license, count(DISTINCT sh) / m AS share FROM h WHERE k >= 0 GROUP BY rid, template, license, m, k HAVING count(DISTINCT sh) >= 0.8 * m),
+y AS (SELECT rid, count(DISTINCT license) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS names, max(share) AS best FROM x GROUP BY rid)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS licenses, CAST(coalesce(best, 0) AS DOUBLE) AS best FROM d LEFT JOIN y USING (rid)
+""",
     "op7_warc": f"""
 WITH b AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, translate({_BITS}, 'xy', '01') AS bits FROM pages),
 d AS (SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1
