@@ -19,7 +19,8 @@ RUN = 1 << 18
 class Queues:
     """First-in first-out queues of positions by symbol, on disk beyond MEMORY bytes."""
 
-    def __init__(self, folder: str, name: str, kinds: int):
+    def __init__(self, folder: str, name: str, kinds: int, length: int):
+        self.kind = np.int32 if length < 1 << 31 else np.int64
         self.parts: list[list] = [[] for _ in range(kinds)]
         self.path, self.file, self.held, self.end = os.path.join(folder, name), None, 0, 0
 
@@ -27,10 +28,16 @@ class Queues:
         if not len(positions):
             return
         order = np.argsort(symbols, kind="stable")
-        symbols, positions = symbols[order], positions[order].astype(np.int32 if positions.max() < 1 << 31 else np.int64)
-        cut = np.flatnonzero(symbols[1:] != symbols[:-1]) + 1
-        for s, p in zip(symbols[np.concatenate(([0], cut))].tolist(), np.split(positions, cut)):
-            self.parts[s].append(p)
+        symbols, positions = symbols[order], positions[order].astype(self.kind)
+        cut = [0, *(np.flatnonzero(symbols[1:] != symbols[:-1]) + 1).tolist(), len(symbols)]
+        for a, b in zip(cut[:-1], cut[1:]):
+            self.parts[int(symbols[a])].append(positions[a:b])
+        self.held += positions.nbytes
+        if self.held > MEMORY:
+            self._spill()
+
+    def append(self, symbol: int, positions: np.ndarray) -> None:
+        self.parts[symbol].append(positions)
         self.held += positions.nbytes
         if self.held > MEMORY:
             self._spill()
@@ -53,21 +60,23 @@ class Queues:
         parts = self.parts[symbol]
         if not keep:
             self.parts[symbol] = []
-        for p in reversed(parts) if back else parts:
-            if isinstance(p, np.ndarray):
-                if not keep:
-                    self.held -= p.nbytes
-                steps = range(0, len(p), RUN)
-                for lo in reversed(steps) if back else steps:
-                    run = p[lo : lo + RUN]
-                    yield run[::-1] if back else run
+        done = [p for p in parts if not isinstance(p, np.ndarray)]  # files come before what is in memory
+        live = [p for p in parts if isinstance(p, np.ndarray)]
+        if live:
+            live = [live[0] if len(live) == 1 else np.concatenate(live)]
+            if keep:
+                self.parts[symbol] = done + live
             else:
-                at, n = p
-                steps = range(0, n, RUN)
-                for lo in reversed(steps) if back else steps:
-                    self.file.seek(at + lo * 8)
-                    run = np.frombuffer(self.file.read(min(RUN, n - lo) * 8), np.int64)
-                    yield run[::-1] if back else run
+                self.held -= live[0].nbytes
+        for p in (live + done[::-1]) if back else (done + live):
+            steps = range(0, len(p) if isinstance(p, np.ndarray) else p[1], RUN)
+            for lo in reversed(steps) if back else steps:
+                if isinstance(p, np.ndarray):
+                    run = p[lo : lo + RUN]
+                else:
+                    self.file.seek(p[0] + lo * 8)
+                    run = np.frombuffer(self.file.read(min(RUN, p[1] - lo) * 8), np.int64)
+                yield run[::-1] if back else run
 
     def close(self) -> None:
         if self.file is not None:
@@ -106,7 +115,7 @@ def _names(text, up, lms) -> np.ndarray:
             sym = np.where(ok, (text[q].astype(np.int64) + 1) * 2 + up[q], 0)
             key = key << np.uint64(bits) | sym.astype(np.uint64)
         # classes keep room for their members: a class of rank r and size k owns r .. r+k-1
-        order = np.lexsort((key, rank[todo]))
+        order = np.lexsort((key, rank[todo])) if at else np.argsort(key)
         r, k = rank[todo][order], key[order]
         new = np.concatenate(([True], (r[1:] != r[:-1]) | (k[1:] != k[:-1])))
         head = np.concatenate(([True], r[1:] != r[:-1]))
@@ -131,10 +140,12 @@ def _sorted_marked(text, up, lms, depth: int) -> np.ndarray:
     while len(todo) and span * 2 < depth + 4:  # each piece has two symbols at least
         nxt = todo + span
         second = np.where(nxt < m, rank[np.minimum(nxt, m - 1)] + 1, 0)
-        order = np.lexsort((second, rank[todo]))
-        r, s = rank[todo][order], second[order]
+        pair = rank[todo].astype(np.uint64) << np.uint64(32) | second.astype(np.uint64)  # ranks are below 2^32
+        order = np.argsort(pair)
+        pair = pair[order]
+        r = (pair >> np.uint64(32)).astype(np.int64)
         head = np.concatenate(([True], r[1:] != r[:-1]))
-        new = head | np.concatenate(([True], s[1:] != s[:-1]))
+        new = np.concatenate(([True], pair[1:] != pair[:-1]))
         at = np.arange(len(r))
         start = np.maximum.accumulate(np.where(head, at, 0))
         first = np.maximum.accumulate(np.where(new, at, 0))
@@ -156,7 +167,7 @@ def suffix_runs(text: np.ndarray, folder: str, depth: int):
     up = small_types(text)
     marked = np.flatnonzero(up[1:] & ~up[:-1]) + 1
     seeds = _sorted_marked(text, up, marked, depth)
-    larger, queue, seeded = Queues(folder, "large", kinds), Queues(folder, "queue", kinds), Queues(folder, "seed", kinds)
+    larger, queue, seeded = (Queues(folder, name, kinds, len(text)) for name in ("large", "queue", "seed"))
     seeded.push(text[seeds], seeds)
     del seeds, marked
 
@@ -168,25 +179,32 @@ def suffix_runs(text: np.ndarray, folder: str, depth: int):
     for c in range(kinds):  # larger suffixes, ascending
         while queue.parts[c]:
             for run in list(queue.take(c)):
-                larger.push(np.full(len(run), c), run)
+                larger.append(c, run)
                 induce(run, False)
         for run in seeded.take(c):
             induce(run, False)
     seeded.close()
-    smaller = Queues(folder, "small", kinds)
+    smaller = Queues(folder, "small", kinds, len(text))
     for c in range(kinds - 1, -1, -1):  # smaller ones, descending
         if c == int(text[-1]):
             queue.push(text[-1:], np.array([len(text) - 1]))
         while queue.parts[c]:
             for run in list(queue.take(c)):
-                smaller.push(np.full(len(run), c), run)
+                smaller.append(c, run)
                 induce(run, True)
         for run in larger.take(c, keep=True, back=True):
             induce(run, True)
     queue.close()
+    held, size = [], 0
     for c in range(kinds):
-        yield from larger.take(c)
-        yield from smaller.take(c, back=True)
+        for run in (*larger.take(c), *smaller.take(c, back=True)):
+            held.append(run)
+            size += len(run)
+            if size >= RUN:
+                yield np.concatenate(held)
+                held, size = [], 0
+    if held:
+        yield np.concatenate(held)
     larger.close()
     smaller.close()
 
