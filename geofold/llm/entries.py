@@ -83,7 +83,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ann, op2_sentencepiece, op3_licenses, op4_suffix_dedup, op5_toxicity, op6_sharding, op7_warc, op8_suffix_tree, op9_simhash, op10_decontaminate)}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_ann, op2_sentencepiece, op3_licenses, op4_suffix_dedup, op5_toxicity, op6_sharding, op7_warc, op8_suffix_tree, op9_simhash, op10_decontaminate, pipeline)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

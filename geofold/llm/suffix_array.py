@@ -267,3 +267,23 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of = marks.withColumnsRenamed({"id": "i2", "t": "t2"})
     joined = keyed.join(of, F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")), "left").select("id", "t", "text", "runs")
     return joined.mapInArrow(cut, CUT.replace("n_bytes", "t int, n_bytes", 1))
+
+
+def cut_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with their remaining text, all columns in place; a null text stays null.
+
+    Where a cut splits a character, what is left of it goes too. Rows equal in id and text
+    have equal remains.
+    """
+    kept = remove_repeats(docs, id_col, text_col).where("n_removed > 0").select("id", "t", "kept").dropDuplicates(["id", "t"])
+
+    @F.pandas_udf("string")
+    def whole(raw):
+        return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
+    plain = docs.toDF(*names)
+    joined = plain.join(kept, F.col(key).cast("long").eqNullSafe(F.col("id")) & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("t")), "left")
+    left = F.when(F.col("kept").isNull(), F.col(text)).otherwise(whole("kept"))
+    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in names]).toDF(*docs.columns)
