@@ -40,7 +40,7 @@ START = 3
 LEAST = 1e-4
 DIVERGENCE = 0.01
 BLOCK = 16 << 20
-SLICE = 2 << 20
+SLICE = 1 << 20
 WORD, GRAM = 0, 1
 END = 0x0A0A0A
 _U = np.uint64
