@@ -79,5 +79,6 @@ def fold_summary(folds: DataFrame, *metrics: str) -> DataFrame:
 
 
 def normalised(counts: DataFrame, *by: str) -> DataFrame:
-    """Confusion counts as shares of their true class."""
-    return counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*by, "t")))
+    """Confusion counts as shares of their true class; 0 for a class that is never true."""
+    whole = F.sum("n").over(Window.partitionBy(*by, "t"))
+    return counts.withColumn("share", F.coalesce(F.try_divide(F.col("n").cast("double"), whole.cast("double")), F.lit(0.0)))
