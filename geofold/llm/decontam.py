@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geofold.llm import _bytes, _store
 
@@ -142,33 +143,38 @@ def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "tex
         yield block
 
 
-STATE = "id long, text string, n_words long, hits binary, items array<string>"
+FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<first:int,end:int>>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
-    """(id, n_words, n_hit, n_items, items_sha256, spans) per row; spans are [first, end) word runs."""
+def scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+    """The kept columns with what was found in each row; no row is moved for it."""
     spark = docs.sparkSession
-    state = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    todo = list_ahead(blocks(benchmark, limit=block_bytes))
-    for block, last in todo:
+    names = [f"c{i}" for i in range(len(keep))]
+    state = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
+    held, ended = state.schema, state.drop("text", "hits", "items").schema
+    for f in T._parse_datatype_string(FOUND).fields:
+        ended = ended.add(f)
+    for block, last in list_ahead(blocks(benchmark, limit=block_bytes)):
         index = spark.sparkContext.broadcast(Index(block))
 
         def run(batches, index=index, last=last):
             for b in batches:
                 for lo, hi, data, off in _bytes.pieces(b.column("text")):
                     row, mask, found = scan(index.value, data, off)
-                    names: dict[int, set] = {}
+                    hit_items: dict[int, set] = {}
                     for rr, _, window in found:
-                        names.setdefault(rr, set()).update(index.value.windows[window])
-                    yield finish(b.slice(lo, hi - lo), row, mask, names, last)
+                        hit_items.setdefault(rr, set()).update(index.value.windows[window])
+                    yield finish(b.slice(lo, hi - lo), names, row, mask, hit_items, last)
 
-        state = state.mapInArrow(run, RESULT if last else "id long, text string, hits binary, items array<string>")
+        state = state.mapInArrow(run, ended if last else held)
         if not last:
             state = _store.written(state, "decontam-block")
-    return state
+    return state.toDF(*keep, *[c.split()[0] for c in FOUND.replace(">>", "").split(", ")])
 
 
-RESULT = "id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<first:int,end:int>>"
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+    """(id, n_words, n_hit, n_items, items_sha256, spans) per row; spans are [first, end) word runs."""
+    return scanned(docs, benchmark, [id_col], text_col, block_bytes).withColumnRenamed(id_col, "id")
 
 
 def list_ahead(blocks):
@@ -180,7 +186,7 @@ def list_ahead(blocks):
     yield held, True
 
 
-def finish(b: pa.RecordBatch, row: np.ndarray, mask: np.ndarray, names: dict[int, set], last: bool) -> pa.RecordBatch:
+def finish(b: pa.RecordBatch, keep: list[str], row: np.ndarray, mask: np.ndarray, names: dict[int, set], last: bool) -> pa.RecordBatch:
     """Adds what earlier blocks found; the last block's rows become results."""
     hits, items = b.column("hits"), b.column("items")
     if hits.null_count < len(hits):
@@ -194,7 +200,7 @@ def finish(b: pa.RecordBatch, row: np.ndarray, mask: np.ndarray, names: dict[int
     n = np.diff(row)
     if not last:
         carry = [np.packbits(mask[row[i] : row[i + 1]]).tobytes() if mask[row[i] : row[i + 1]].any() else None for i in range(len(n))]
-        return pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(carry, pa.binary()), pa.array([sorted(names.get(i, ())) for i in range(len(n))], pa.list_(pa.string()))], ["id", "text", "hits", "items"])
+        return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("text"), pa.array(carry, pa.binary()), pa.array([sorted(names.get(i, ())) for i in range(len(n))], pa.list_(pa.string()))], [*keep, "text", "hits", "items"])
     total = np.concatenate(([0], np.cumsum(mask)))
     hit = total[row[1:]] - total[row[:-1]]
     listed = [sorted(names.get(i, ())) for i in range(len(n))]
@@ -208,13 +214,13 @@ def finish(b: pa.RecordBatch, row: np.ndarray, mask: np.ndarray, names: dict[int
             runs.append([])
     kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))
     return pa.RecordBatch.from_arrays(
-        [b.column("id"), pa.array(n.astype(np.int64)), pa.array(hit.astype(np.int64)), pa.array([len(x) for x in listed], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else empty for x in listed]), pa.array(runs, kind)],
-        ["id", "n_words", "n_hit", "n_items", "items_sha256", "spans"],
+        [*[b.column(c) for c in keep], pa.array(n.astype(np.int64)), pa.array(hit.astype(np.int64)), pa.array([len(x) for x in listed], pa.int64()), pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else empty for x in listed]), pa.array(runs, kind)],
+        [*keep, "n_words", "n_hit", "n_items", "items_sha256", "spans"],
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """The documents without any window of the benchmark, all columns as they are."""
-    key, text = "__row", F.col(text_col)
-    marked = contamination(docs, benchmark, id_col, text_col, block_bytes).where("n_hit > 0").select(F.col("id").alias(key)).distinct()
-    return docs.join(marked, docs[id_col] == marked[key], "left_anti")
+    names = [f"d{i}" for i in range(len(docs.columns))]
+    found = scanned(docs.toDF(*names), benchmark, names, names[docs.columns.index(text_col)], block_bytes)
+    return found.where("n_hit = 0").select(*names).toDF(*docs.columns)

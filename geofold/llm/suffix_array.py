@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from geofold.llm import _bytes, _groups, _induced, _store
@@ -229,17 +230,19 @@ def repeats(ctx: DataFrame) -> DataFrame:
     return ctx.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, t int, start int, n int")
 
 
-CUT = "id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+CUT = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
-    """(id, t, n_bytes, n_removed, n_spans, kept, kept_sha256) per row; ``kept`` is null unless asked for."""
+def cut_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """The kept columns with n_bytes, n_removed, n_spans, kept and kept_sha256; ``kept`` is null unless asked for."""
+    names = [f"c{i}" for i in range(len(keep))]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).withColumn("t", F.hash("text"))
-    found = _store.written(units(keyed.select("id", "t", "text")), "suffix-unit")
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names)]).withColumn("t", F.hash("text"))
+    bare = keyed.select("id", "t", "text")
+    found = _store.written(units(bare), "suffix-unit")
     some = _store.written(classify(found), "suffix-some")
     probes = some.where("other").select("h", "id", "t", "start", "n", "rep")
-    runs = _store.written(repeats(contexts(keyed, probes)), "suffix-run")
+    runs = _store.written(repeats(contexts(bare, probes)), "suffix-run")
     whole = found.where(F.col("kind") == DONE).select("id", "t", "start", "n").unionAll(some.where("rep").select("id", "t", "start", "n"))
     marks = whole.unionAll(runs).groupBy("id", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # at most a document's units
 
@@ -262,28 +265,33 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 body = raw.tobytes()
                 rows.append((int(off[r + 1] - off[r]), gone, n_spans, body if keep_text else None, hashlib.sha256(body).hexdigest()))
             cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]], ["id", "t", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]], [*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     of = marks.withColumnsRenamed({"id": "i2", "t": "t2"})
-    joined = keyed.join(of, F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")), "left").select("id", "t", "text", "runs")
-    return joined.mapInArrow(cut, CUT.replace("n_bytes", "t int, n_bytes", 1))
+    joined = keyed.join(of, F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")), "left").select("text", "runs", *names)
+    out = joined.drop("text", "runs").schema
+    for f in T._parse_datatype_string(CUT).fields:
+        out = out.add(f)
+    return joined.mapInArrow(cut, out).toDF(*keep, *[c.split()[0] for c in CUT.split(", ")])
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept, kept_sha256) per row."""
+    return cut_rows(docs, [id_col], id_col, text_col, keep_text).withColumnRenamed(id_col, "id")
 
 
 def cut_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with their remaining text, all columns in place; a null text stays null.
 
-    Where a cut splits a character, what is left of it goes too. Rows equal in id and text
-    have equal remains.
+    Where a cut splits a character, what is left of it goes too.
     """
-    kept = remove_repeats(docs, id_col, text_col).where("n_removed > 0").select("id", "t", "kept").dropDuplicates(["id", "t"])
 
     @F.pandas_udf("string")
     def whole(raw):
         return raw.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
 
-    names = [f"c{i}" for i in range(len(docs.columns))]
+    names = [f"d{i}" for i in range(len(docs.columns))]
     text, key = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
-    plain = docs.toDF(*names)
-    joined = plain.join(kept, F.col(key).cast("long").eqNullSafe(F.col("id")) & (F.hash(F.coalesce(F.col(text), F.lit(""))) == F.col("t")), "left")
-    left = F.when(F.col("kept").isNull(), F.col(text)).otherwise(whole("kept"))
-    return joined.select(*[left.alias(c) if c == text else F.col(c) for c in names]).toDF(*docs.columns)
+    out = cut_rows(docs.toDF(*names), names, key, text)
+    left = F.when(F.col("n_removed") > 0, whole(F.when(F.col("n_removed") > 0, F.col("kept")))).otherwise(F.col(text))
+    return out.select(*[left.alias(c) if c == text else F.col(c) for c in names]).toDF(*docs.columns)

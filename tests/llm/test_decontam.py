@@ -63,5 +63,7 @@ def test_clean_keeps_columns_and_empty_tables(spark):
     kept = decontam.clean(d, b)
     assert kept.columns == d.columns
     assert {r["doc_id"] for r in kept.collect()} == {i for i, x in brute(docs, bench).items() if not x[1]}
+    twice = spark.createDataFrame([(1, bench[0][1]), (1, "clean words"), (None, bench[0][1]), (None, "more")], "doc_id long, text string")
+    assert sorted(r["text"] for r in decontam.clean(twice, b).collect()) == ["clean words", "more"]
     assert decontam.clean(d, b.limit(0)).count() == len(docs)
     assert decontam.contamination(d.limit(0), b).count() == 0
