@@ -291,7 +291,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
     def run(batches):
         coder = Encoder(shared.value)
         for b in batches:
-            for lo, hi, data, off in _bytes.pieces(b.column("t"), 2 << 20):
+            for lo, hi, data, off in _bytes.pieces(b.column("t")):
                 flat, at = coder.encode(data, off)
                 ids = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(flat))
                 part = b.slice(lo, hi - lo)

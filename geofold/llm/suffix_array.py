@@ -40,7 +40,7 @@ from geofold.llm import _bytes, _groups, _induced, _store
 SPAN, GRAM = 200, 32
 REACH = SPAN - GRAM + 1
 SHARD = 8 << 20
-PIECE = 2 << 20
+PIECE = 1 << 20
 SEEN = 1 << 20
 ONE, LOCAL, DONE = 0, 1, 2
 UNIT = "kind tinyint, h long, c long, id long, t int, start int, n int"
