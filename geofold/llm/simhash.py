@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches):
         for b in batches:
-            fp = [fold(*shingle_hashes(data, off)) for _, _, data, off in _bytes.pieces(b.column(1), 2 << 20)]
+            fp = [fold(*shingle_hashes(data, off)) for _, _, data, off in _bytes.pieces(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fp or [np.zeros(0, np.uint64)]).view(np.int64))], ["id", "fp"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
@@ -181,7 +181,125 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, "fp")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents less all but the smallest id of each near-duplicate class; null ids stay."""
-    kept = near_duplicates(docs, id_col, text_col).where("id = component").select(F.col("id").alias("__kept")).distinct()
+# ---------------------------------------------------------------- near copies by similarity
+
+WORDS, SIMILAR = 5, 0.8
+FAR = 12  # bits: 99 in 100 texts of 0.8 similarity or more are this near
+TYPICAL, RECALL = 8, 0.99
+LARGE = 256
+
+
+def masks(n: int, seed: int = 11) -> list[int]:
+    """Bit masks for n fingerprints: log2(n) - 2 bits each, so many that two fingerprints TYPICAL bits apart share a pattern with probability RECALL."""
+    k = max(4, min(40, int(n).bit_length() - 2))
+    share = 1.0
+    for i in range(k):
+        share *= (64 - TYPICAL - i) / (64 - i)
+    count = int(np.ceil(np.log(1 - RECALL) / np.log1p(-share)))
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(count)]
+
+
+def _edges(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """At most two pairs an entry: its class's first entry, and the nearest earlier one within ``bits``."""
+    a, b = within(fp, group, bits)
+    root = roots(len(fp), a, b)
+    own = np.flatnonzero(root != np.arange(len(fp)))
+    near = np.full(len(fp), -1)
+    np.maximum.at(near, b, a)
+    also = own[(near[own] >= 0) & (near[own] != root[own])]
+    return np.concatenate((root[own], near[also])), np.concatenate((own, also))
+
+
+def group_edges(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs to compare in groups of any size: larger ones go in runs of LARGE in Gray order, then the runs' first entries among themselves.
+
+    So the work grows with the number of entries, not with its square.
+    """
+    at, left, right = np.arange(len(fp)), [], []
+    while len(at):
+        g = group[at]
+        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
+        size = np.diff(np.append(head, len(g)))
+        nth = np.arange(len(g)) - np.repeat(head, size)
+        run = np.cumsum(np.concatenate(([True], (g[1:] != g[:-1]) | (nth[1:] % LARGE == 0)))) - 1
+        a, b = _edges(fp[at], run, bits)
+        left.append(at[a])
+        right.append(at[b])
+        joined = np.zeros(len(at), bool)
+        joined[b] = True
+        at = at[~joined & (np.repeat(size, size) > LARGE)]
+        if not np.any(joined):  # no run had a pair: shuffled runs would find none but by chance
+            break
+    return np.concatenate(left), np.concatenate(right)
+
+
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS) -> DataFrame:
+    """(id, sh): the distinct n-word shingles of each text, as hashes."""
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, off in _bytes.pieces(b.column(1)):
+                h, at = shingle_hashes(data, off, n)
+                sets = [np.unique(h[x:y]).view(np.int64) for x, y in zip(at[:-1], at[1:])]
+                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
+                flat = np.concatenate([*sets, np.zeros(0, np.int64)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "sh"])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, sh array<long>")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, words: int = WORDS, bits: int = FAR) -> DataFrame:
+    """(id, component) per row: classes of texts linked by a Jaccard similarity of word shingles of ``similarity`` or more.
+
+    Fingerprints propose, shingle sets decide. Equal texts are one entry from the start. Texts
+    near each other in ``bits`` meet under one of the masked patterns of ``masks``; in a
+    pattern's group each entry is paired with its class's first and its nearest one,
+    so a group of thousands of near copies costs a few pairs a member. Each pair's similarity is
+    counted exactly, and only those that reach it link. Texts under five words are one shingle; texts
+    without words are copies of each other.
+    """
+
+    def run(batches):
+        for b in batches:
+            fp = [fold(*shingle_hashes(data, off)) for _, _, data, off in _bytes.pieces(b.column("t"))]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(np.concatenate([*fp, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "th", "fp"])
+
+    text = F.when(F.trim(F.col(text_col)) == "", F.lit("")).otherwise(F.coalesce(F.col(text_col), F.lit("")))
+    fps = _store.written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, "id long, th long, fp long"), "simhash-fp")
+    classes = _store.written(fps.groupBy("fp", "th").agg(F.min("id").alias("rep")), "simhash-class")
+    named = classes.where("rep IS NOT NULL")
+    sampled = masks(named.count())
+
+    def search(batches):
+        for t in _groups.runs(batches, ["mask", "key"]):
+            t = t.combine_chunks()
+            mask, key, fp, rep = (t.column(c).to_numpy() for c in ("mask", "key", "fp", "rep"))
+            new = np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])))
+            group = np.cumsum(new)
+            alone = new & np.concatenate((new[1:], [True]))
+            fp, group, rep = fp[~alone].view(np.uint64), group[~alone], rep[~alone]
+            if len(fp):
+                a, b = group_edges(fp, group, bits)
+                pairs = np.unique(np.sort(np.column_stack((rep[a], rep[b])), axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(sampled)]))
+    met = named.select("fp", "rep", keys.alias("k")).select("k.mask", "k.key", "fp", "rep").repartition("mask", "key").sortWithinPartitions("mask", "key", gray_rank(F.col("fp")))
+    pairs = _store.written(met.mapInArrow(search, "a long, b long").where("a <> b").distinct(), "simhash-pair")
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(nodes, F.col("id") == F.col("node"), "left_semi")
+    sets = _store.written(shingle_sets(ids, "id", "t", words).groupBy("id").agg(F.first("sh").alias("sh")), "simhash-set")
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    every = F.size("sa") + F.size("sb") - common
+    links = both.where(common >= F.lit(similarity) * every).select("a", "b")
+    parts = _groups.connected(links, "simhash-star")
+    of = classes.join(parts, classes.rep == parts.node, "left").select("fp", "th", F.coalesce("component", "rep").alias("component"))
+    return fps.join(of, ["fp", "th"]).select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR) -> DataFrame:
+    """The documents less all but the smallest id of each class of similar texts; null ids stay."""
+    kept = similar(docs, id_col, text_col, similarity).where("id = component").select(F.col("id").alias("__kept")).distinct()
     return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").unionAll(docs.where(F.col(id_col).isNull()))

@@ -9,7 +9,7 @@ import corpus_pipeline
 from geofold.llm import pieces
 from tests.llm.test_decontam import brute as windows
 from tests.llm.test_pieces import brute as segment
-from tests.llm.test_simhash import brute_components, brute_print
+from tests.llm.test_simhash import jaccard_classes
 
 BAD = ["dunderhead", "wretch", "vermin"]
 
@@ -67,7 +67,7 @@ def test_pipeline_matches_plain_code(spark, tables):
     docs, _, bench = corpus()
     out = corpus_pipeline.run(spark, tables).collect()
     left = [(i, t) for i, t, *_ in docs if not set((t or "").lower().split()) & set(BAD)]
-    comp = brute_components({i: brute_print(t) for i, t in left})
+    comp = jaccard_classes(left)
     left = cut([(i, t) for i, t in left if comp[i] == i])
     hit = windows(left, bench)
     left = {i: t for i, t in left if not hit[i][1]}

@@ -78,3 +78,51 @@ def test_long_chain_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100)], "a long, b long")
     got = {r["node"]: r["component"] for r in _groups.connected(edges, "t").collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def jaccard_classes(rows):
+    """Components of texts whose five-word shingle sets are 0.8 alike."""
+    sets = {}
+    for i, text in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets[i] = frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4)))
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return root
+
+
+def test_similar_texts_are_found_and_others_left(spark):
+    rng = random.Random(21)
+    words = [a + b for a in "ka le mi no pu ra se ti".split() for b in "tan bel dor fis gan hol".split()]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(80, 200))) for _ in range(150)]
+    for i in range(60):
+        w = texts[i].split()
+        for _ in range(rng.randint(1, 3)):
+            w[rng.randrange(len(w))] = "zzz"
+        texts.append(" ".join(w))
+    hot = " ".join(rng.choice(words) for _ in range(300))
+    for i in range(400):  # one large group of near copies
+        w = hot.split()
+        w[rng.randrange(300)] = f"x{i}"
+        texts.append(" ".join(w))
+    texts += [hot] * 50 + ["", None, "   ", "a b", "a b", "a c"]
+    rows = list(enumerate(texts))
+    got = {r["id"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = jaccard_classes(rows)
+    missed = [i for i in got if got[i] != want[i]]
+    assert all(want[got[i]] == want[i] for i in got)  # nothing is linked that is not alike
+    assert len(missed) <= 0.01 * len(rows)
+    assert spark.createDataFrame([], "doc_id long, text string").transform(simhash.similar).count() == 0
+
+
+def test_large_groups_cost_a_few_pairs_an_entry():
+    rng = np.random.default_rng(2)
+    fp = np.full(5000, 0x0123456789ABCDEF, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64))
+    a, b = simhash.group_edges(np.sort(fp), np.zeros(5000, int), 12)
+    assert len(a) < 4 * 5000
+    assert (simhash.roots(5000, a, b) == 0).all()
