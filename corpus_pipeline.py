@@ -19,7 +19,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each class of linked fingerprints."""
+    """The document of smallest id of each class of texts that share 0.8 of their five-word shingles: fingerprints propose, shingles decide."""
     return simhash.keep_one(docs)
 
 
