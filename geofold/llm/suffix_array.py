@@ -233,6 +233,21 @@ def repeats(ctx: DataFrame) -> DataFrame:
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
 
 
+def one_cut(raw: np.ndarray, marked, keep_text: bool):
+    """(bytes, bytes removed, runs removed, what is left, its digest) of a text and its repeated windows."""
+    size, gone, n_spans = len(raw), 0, 0
+    if marked:
+        edge = np.zeros(size + 1, np.int64)
+        for x in marked:
+            edge[x["start"]] += 1
+            edge[x["start"] + x["n"] + SPAN - 1] -= 1
+        mask = np.cumsum(edge)[:-1] > 0
+        n_spans, gone = len(_bytes.spans(mask)[0]), int(mask.sum())
+        raw = raw[~mask]
+    body = raw.tobytes()
+    return size, gone, n_spans, body if keep_text else None, hashlib.sha256(body).hexdigest()
+
+
 def cut_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """The kept columns with n_bytes, n_removed, n_spans, kept and kept_sha256; ``kept`` is null unless asked for."""
     names = [f"c{i}" for i in range(len(keep))]
@@ -247,25 +262,12 @@ def cut_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     marks = whole.unionAll(runs).groupBy("id", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # at most a document's units
 
     def cut(batches):
-        for b in batches:
-            data, off = _bytes.column(b.column("text"))
-            lists = b.column("runs").to_pylist()
-            rows = []
-            for r, marked in enumerate(lists):
-                raw = data[off[r] : off[r + 1]]
-                gone = n_spans = 0
-                if marked:
-                    edge = np.zeros(len(raw) + 1, np.int64)
-                    for x in marked:
-                        edge[x["start"]] += 1
-                        edge[x["start"] + x["n"] + SPAN - 1] -= 1
-                    mask = np.cumsum(edge)[:-1] > 0
-                    n_spans, gone = len(_bytes.spans(mask)[0]), int(mask.sum())
-                    raw = raw[~mask]
-                body = raw.tobytes()
-                rows.append((int(off[r + 1] - off[r]), gone, n_spans, body if keep_text else None, hashlib.sha256(body).hexdigest()))
-            cols = list(zip(*rows)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]], [*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
+        for whole in batches:
+            for lo, hi, data, off in _bytes.pieces(whole.column("text"), PIECE):
+                b = whole.slice(lo, hi - lo)
+                rows = [one_cut(data[off[r] : off[r + 1]], marked, keep_text) for r, marked in enumerate(b.column("runs").to_pylist())]
+                cols = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([*[b.column(n) for n in names], *[pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.string()))]], [*names, "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"])
 
     of = marks.withColumnsRenamed({"id": "i2", "t": "t2"})
     joined = keyed.join(of, F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")), "left").select("text", "runs", *names)
