@@ -14,7 +14,7 @@ _cleared: set[str] = set()
 def shared_dir(spark: SparkSession) -> str:
     """URI of the shared folder: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or None
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or None
     if base is None:
         held = sc._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
