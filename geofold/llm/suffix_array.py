@@ -15,6 +15,8 @@ A byte goes if it is covered by a string of ``SPAN`` bytes that starts anywhere
 3. Each shard is a text of contexts whose suffixes are sorted by ``suffix_order``: induced
    sorting with queues on disk, over runs of bounded size; neighbours in suffix order with a common prefix
    of SPAN bytes or more are repeats.
+   An anchor with more than HOT differing contexts is not gathered in one task: its windows are
+   compared by two 64-bit digests instead, spread over all tasks.
 4. Repeated runs come back to their document, which is cut and hashed.
 
 Null and empty texts have nothing to remove, and neither have texts shorter than SPAN
@@ -40,9 +42,11 @@ from geofold.llm import _bytes, _groups, _induced, _store
 SPAN, GRAM = 200, 32
 REACH = SPAN - GRAM + 1
 SHARD = 8 << 20
+HOT = 2000
 PIECE = 1 << 20
 SEEN = 1 << 20
 ONE, LOCAL, DONE = 0, 1, 2
+_OTHER = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)  # bytes as other numbers: a second digest
 UNIT = "kind tinyint, h long, c long, id long, t int, start int, n int"
 
 
@@ -149,8 +153,10 @@ def classify(found: DataFrame) -> DataFrame:
 
 
 def contexts(keyed: DataFrame, probes: DataFrame) -> DataFrame:
-    """(h, id, t, start, need, context) of the units to be sorted."""
-    wanted = probes.groupBy("id", "t").agg(F.collect_list(F.struct("h", "start", "n", "rep")).alias("units"))  # at most a document's units
+    """(h, id, t, start, need, hot, context) of the units to be compared; ``hot`` where their anchor has more than HOT of them."""
+    crowd = probes.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))
+    probes = probes.join(crowd, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    wanted = probes.groupBy("id", "t").agg(F.collect_list(F.struct("h", "start", "n", "rep", "hot")).alias("units"))  # at most a document's units
 
     def run(batches):
         for b in batches:
@@ -167,10 +173,40 @@ def contexts(keyed: DataFrame, probes: DataFrame) -> DataFrame:
                 ctx = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(body)])
                 take = pa.array(row[part])
                 need = pa.array(~flat.field("rep").to_numpy(zero_copy_only=False)[part])
-                yield pa.RecordBatch.from_arrays([flat.field("h").slice(lo, len(at) - 1), b.column("id").take(take), b.column("t").take(take), pa.array(start[part], pa.int32()), need, ctx], ["h", "id", "t", "start", "need", "context"])
+                yield pa.RecordBatch.from_arrays(
+                    [flat.field("h").slice(lo, len(at) - 1), b.column("id").take(take), b.column("t").take(take), pa.array(start[part], pa.int32()), need, flat.field("hot").slice(lo, len(at) - 1), ctx],
+                    ["h", "id", "t", "start", "need", "hot", "context"],
+                )
 
     joined = keyed.join(wanted.withColumnsRenamed({"id": "i2", "t": "t2"}), F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")))
-    return joined.select("id", "t", "text", "units").mapInArrow(run, "h long, id long, t int, start int, need boolean, context binary")
+    return joined.select("id", "t", "text", "units").mapInArrow(run, "h long, id long, t int, start int, need boolean, hot boolean, context binary")
+
+
+def crowded_windows(ctx: DataFrame) -> DataFrame:
+    """Units of one window each (as ``units`` makes them) of contexts whose anchor is hot: named by two digests of the window.
+
+    A group of any size then spreads over all tasks: windows that differ part, equal ones are one row a task.
+    """
+
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            nulls = np.asarray(b.column("id").is_null())
+            ids = b.column("id").fill_null(0).to_numpy()
+            ts, start = b.column("t").to_numpy(), b.column("start").to_numpy()
+            for lo, hi, data, off in _bytes.pieces(b.column("context"), PIECE):
+                many = np.diff(off) - SPAN + 1
+                win, row = _bytes.ranges(off[:-1], many), np.repeat(np.arange(lo, hi), many)
+                first = start[row] + win - np.repeat(off[:-1], many)
+                one, two = (_bytes.range_hash(_bytes.prefix_sums(v), win, win + SPAN) for v in (data, _OTHER[data]))
+                held.append((one, two, ids[row], nulls[row], ts[row], first, np.ones(len(win), np.int64)))
+                size += len(win)
+            if size > SEEN:
+                yield from settle(held)
+                held, size = [], 0
+        yield from settle(held)
+
+    return ctx.select("id", "t", "start", "context").mapInArrow(run, UNIT)
 
 
 def repeated_windows(data: np.ndarray, off: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -257,9 +293,12 @@ def cut_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     found = _store.written(units(bare), "suffix-unit")
     some = _store.written(classify(found), "suffix-some")
     probes = some.where("other").select("h", "id", "t", "start", "n", "rep")
-    runs = _store.written(repeats(contexts(bare, probes)), "suffix-run")
+    ctx = _store.written(contexts(bare, probes), "suffix-context")
+    runs = _store.written(repeats(ctx.where("NOT hot")), "suffix-run")
+    crowd = _store.written(crowded_windows(ctx.where("hot")), "suffix-crowd")
+    again = classify(crowd).where("rep").unionByName(crowd.where(F.col("kind") == DONE), allowMissingColumns=True).select("id", "t", "start", "n")
     whole = found.where(F.col("kind") == DONE).select("id", "t", "start", "n").unionAll(some.where("rep").select("id", "t", "start", "n"))
-    marks = whole.unionAll(runs).groupBy("id", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # at most a document's units
+    marks = whole.unionAll(runs).unionAll(again).groupBy("id", "t").agg(F.collect_list(F.struct("start", "n")).alias("runs"))  # at most a document's units
 
     def cut(batches):
         for whole in batches:

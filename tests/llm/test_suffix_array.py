@@ -46,8 +46,9 @@ def corpus():
 def test_matches_brute_force(spark, monkeypatch):
     texts = corpus()
     df = spark.createDataFrame([(i, t, 0, 1) for i, t in enumerate(texts)], "doc_id long, text string, start int, h int").repartition(5)
-    for shard in (8 << 20, 2000):
+    for shard, hot in ((8 << 20, 2000), (2000, 2000), (8 << 20, 1), (8 << 20, 10)):
         monkeypatch.setattr(suffix_array, "SHARD", shard)
+        monkeypatch.setattr(suffix_array, "HOT", hot)
         got = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_array.remove_repeats(df).collect()}
         assert [got[i] for i in range(len(texts))] == brute(texts)
 
