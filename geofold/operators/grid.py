@@ -114,6 +114,15 @@ def align(rasters: dict[str, DataFrame], meta: DataFrame, value: str = "cls", ho
     return out
 
 
+def extract_tile(source: DataFrame, west: float, south: float, east: float, north: float, size: int, src_west: float, src_north: float, src_res: float, value: str, method: str = "bilinear") -> DataFrame:
+    """(row, col, value) of size x size cells over a box, sampled from a source grid."""
+    spark = source.sparkSession
+    dx, dy = (east - west) / size, (north - south) / size
+    i = spark.range(size * size).select((F.col("id") / size).cast("long").alias("row"), (F.col("id") % size).alias("col"))
+    cells = i.select("row", "col", (F.lit(west) + (F.col("col") + 0.5) * dx).alias("x"), (F.lit(north) - (F.col("row") + 0.5) * dy).alias("y"))
+    return resample(source, cells, src_west, src_north, src_res, value, method)
+
+
 def reproject(source: DataFrame, cells: DataFrame, to_source, west: float, north: float, res: float, value: str, method: str = "bilinear") -> DataFrame:
     """Values of a source grid at cells of another CRS; ``to_source`` maps (x, y) columns into the source's."""
     x, y = to_source("x", "y")

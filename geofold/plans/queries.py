@@ -492,6 +492,29 @@ def latest_mosaic(spark, sf_dir):
     return grid.latest(e, "px")
 
 
+@query(_PROBS + "SELECT tile_id, CAST(i - 1 AS INT) AS band, CASE WHEN i <= 7 THEN round(p[i], 9) ELSE 0 END AS p FROM m CROSS JOIN range(1, 10) r(i)")
+def probability_tiles(spark, sf_dir):
+    p = fx.slices(spark, sf_dir).select("tile_id", grid.padded(votes.average(["a", "b", "c"], [2.0, 1.0, 1.0]), 9).alias("p"))
+    return p.select("tile_id", F.posexplode("p").alias("band", "v")).select("tile_id", "band", F.round("v", 9).alias("p"))
+
+
+@query("SELECT user_id AS px, median(value) AS v FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-21' AND event_id % 10 < 3 AND event_id % 12 BETWEEN 4 AND 7 GROUP BY user_id")
+def clear_composite(spark, sf_dir):
+    i = F.col("event_id")
+    scene = table(spark, sf_dir, "events").select(F.col("user_id").alias("px"), F.col("value").alias("v"), F.col("ts").cast("date").alias("acquired"), (i % 10).alias("cloud"), (i % 12).alias("scl"))
+    return grid.composite(grid.clear_pixels(scene, "2024-01-03", "2024-01-20", 3), "px")
+
+
+@query(PX + """, hh AS (SELECT max(y) + 5 AS h FROM px), tg AS (SELECT r AS "row", c AS col, 33.0::DOUBLE + (c + 0.5::DOUBLE) * 7.0::DOUBLE AS x, h - 21.0::DOUBLE - (r + 0.5::DOUBLE) * 3.0::DOUBLE AS y, h FROM range(0, 16) a(r) CROSS JOIN range(0, 16) b(c) CROSS JOIN hh),
+f AS (SELECT "row", col, (h - y) / 10.0 - 0.5::DOUBLE AS fr, x / 10.0 - 0.5::DOUBLE AS fc FROM tg),
+n AS (SELECT f."row", f.col, px.conf AS v, greatest(0, 1 - abs(fr - px."row")) * greatest(0, 1 - abs(fc - px.col)) AS w FROM f JOIN px ON px."row" IN (CAST(floor(fr) AS BIGINT), CAST(floor(fr) AS BIGINT) + 1) AND px.col IN (CAST(floor(fc) AS BIGINT), CAST(floor(fc) AS BIGINT) + 1))
+SELECT "row", col, round(sum(v * w) / sum(w), 8) AS conf FROM n GROUP BY "row", col HAVING sum(w) <> 0""")
+def extract_tile(spark, sf_dir):
+    px = fx.pixels(spark, sf_dir)
+    h = px.agg(F.max("y")).first()[0] + 5.0
+    return grid.extract_tile(px, 33.0, h - 69.0, 145.0, h - 21.0, 16, 0.0, h, 10.0, "conf").select("row", "col", F.round("conf", 8).alias("conf"))
+
+
 # ---------------------------------------------------------------- classes and labels
 
 
