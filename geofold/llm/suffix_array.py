@@ -41,7 +41,7 @@ from geofold.llm import _bytes, _groups, _induced, _store
 
 SPAN, GRAM = 200, 32
 REACH = SPAN - GRAM + 1
-SHARD = 8 << 20
+SHARD = 4 << 20
 HOT = 2000
 PIECE = 1 << 20
 SEEN = 1 << 20
