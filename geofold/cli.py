@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from geofold import reports
 from geofold.functions import classes, votes
 from geofold.operators import agreement, embed, errors, grid, labels, metrics, ml, preprocess, tiles, zonal
-from geofold.session import session
+from geofold.session import session, ship
 from geofold.sources import config as cfg
 from geofold.sources import discovery, geotiff, sinks, vector
 
@@ -260,11 +260,17 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
+def started():
+    spark = session()
+    ship(spark)
+    return spark
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     run, needs_spark, _ = COMMANDS[a.command]
     try:
-        print(run(a, session()) if needs_spark else run(a))
+        print(run(a, started()) if needs_spark else run(a))
     except (ValueError, KeyError, FileNotFoundError) as e:
         print(f"Error: {e}", file=sys.stderr)
         return 1

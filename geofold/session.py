@@ -17,3 +17,26 @@ def session(app: str = "geofold", master: str | None = None, **conf: str) -> Spa
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors where their Python would not find it; once an application."""
+    import os
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    app = spark.sparkContext.applicationId
+    known = [os.path.realpath(p or ".") for p in os.environ.get("PYTHONPATH", "").split(os.pathsep)]
+    if app in _shipped or str(root) in known:
+        return
+    _shipped.add(app)
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="geofold-")), "geofold-src.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "geofold").rglob("*.py")):
+            z.write(f, str(f.relative_to(root)))
+    spark.sparkContext.addPyFile(path)
