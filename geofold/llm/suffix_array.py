@@ -154,7 +154,8 @@ def classify(found: DataFrame) -> DataFrame:
 
 def contexts(keyed: DataFrame, probes: DataFrame) -> DataFrame:
     """(h, id, t, start, need, hot, context) of the units to be compared; ``hot`` where their anchor has more than HOT of them."""
-    crowd = probes.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot"))
+    # written by itself: a join on h right above its sum could not be split where h is hot
+    crowd = _store.written(probes.groupBy("h").count().where(F.col("count") > HOT).select("h", F.lit(True).alias("hot")), "suffix-crowd")
     probes = probes.join(crowd, "h", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     wanted = probes.groupBy("id", "t").agg(F.collect_list(F.struct("h", "start", "n", "rep", "hot")).alias("units"))  # at most a document's units
 
