@@ -228,3 +228,21 @@ def test_coordinates(spark):
     assert (b["x"], b["y"]) == (pytest.approx(500000, abs=1e-6), pytest.approx(0, abs=1e-6))
     assert df.select(geo.utm_zone("lon", "lat")).first()[0] == "EPSG:32610"
     assert df.select(geo.parent_name(F.lit("/a/b/c.csv")), geo.parent_name(F.lit("c.csv"))).first()[:] == ("b", "unknown")
+
+
+def test_package_is_sent_once_and_only_where_needed(monkeypatch):
+    import types
+    import zipfile
+    from pathlib import Path
+
+    from geofold import session
+
+    sent = []
+    fake = types.SimpleNamespace(sparkContext=types.SimpleNamespace(applicationId="test-app", addPyFile=sent.append))
+    monkeypatch.setenv("PYTHONPATH", str(Path(session.__file__).resolve().parents[1]))
+    session.ship(fake)
+    assert sent == []
+    monkeypatch.setenv("PYTHONPATH", "/nowhere")
+    session.ship(fake)
+    session.ship(fake)
+    assert len(sent) == 1 and "geofold/session.py" in zipfile.ZipFile(sent[0]).namelist()
