@@ -58,6 +58,13 @@ def forget(df: DataFrame) -> None:
             _remove(spark, path)
 
 
+def text_batches(spark: SparkSession, rows: int = 1500) -> None:
+    """Smaller Arrow batches for the session: ten thousand texts at once are tens of megabytes in each process that holds them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def local_or_fs(uri: str):
     """(filesystem, path) for a shared URI, for use inside executors."""
     from pyarrow import fs

@@ -148,6 +148,7 @@ FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, spans arra
 
 def scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
     """The kept columns with what was found in each row; no row is moved for it."""
+    _store.text_batches(docs.sparkSession)
     spark = docs.sparkSession
     names = [f"c{i}" for i in range(len(keep))]
     state = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))

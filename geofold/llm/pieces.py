@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geofold.llm import _bytes
+from geofold.llm import _bytes, _store
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BAR, RAW = 0x2581, 0x110000
@@ -282,6 +282,7 @@ class Encoder:
 
 def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, model: str = MODEL) -> DataFrame:
     """The kept columns with ``piece_ids`` (list of int) and ``exact`` (decoding gave the text back)."""
+    _store.text_batches(docs.sparkSession)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.load(model))  # as large as the model file, whatever the input
     keep = docs.columns if keep is None else keep

@@ -76,6 +76,7 @@ def fold(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long) of every row."""
+    _store.text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
@@ -259,6 +260,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     counted exactly, and only those that reach it link. Texts under five words are one shingle; texts
     without words are copies of each other.
     """
+    _store.text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -287,6 +287,7 @@ def one_cut(raw: np.ndarray, marked, keep_text: bool):
 
 def cut_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """The kept columns with n_bytes, n_removed, n_spans, kept and kept_sha256; ``kept`` is null unless asked for."""
+    _store.text_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(keep))]
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names)]).withColumn("t", F.hash("text"))

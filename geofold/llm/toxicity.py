@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geofold.llm import _bytes
+from geofold.llm import _bytes, _store
 
 SAMPLE = 20_000  # labelled rows that the lexicon and the model are fitted on
 TERMS = 256  # terms of the lexicon
@@ -331,6 +331,7 @@ def closed(found: list[tuple[str, int]]) -> list[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Model:
     """Learns from the labelled rows for which ``keep`` (a column over the labels) holds."""
+    _store.text_batches(docs.sparkSession)
     sample = F.broadcast(training(labels, label_id, label_col, keep))  # SAMPLE rows of two numbers at most
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(sample, "id").select("text", "y")
     auto = Automaton(lexicon(unlike(texts)))
@@ -368,6 +369,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text_c
 
 def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """The kept columns with ``score``."""
+    _store.text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     picked = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("t"))
     out = picked.drop("t").schema.add("score", "double")
