@@ -185,9 +185,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---------------------------------------------------------------- near copies by similarity
 
 WORDS, SIMILAR = 5, 0.8
-FAR = 12  # bits: 99 in 100 texts of 0.8 similarity or more are this near
+FAR = 12  # bits within which fingerprints propose
 TYPICAL, RECALL = 8, 0.99
 LARGE = 256
+BANDS, DEEP = 24, 5  # two texts of similarity s share no band with probability (1 - s**5)**24: 7e-5 at 0.8, whatever their number
+CHUNK = 1 << 20
+_RNG = np.random.default_rng(5)
+_ODD = _RNG.integers(0, 1 << 63, (BANDS, DEEP), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def masks(n: int, seed: int = 11) -> list[int]:
@@ -235,6 +239,38 @@ def group_edges(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarra
     return np.concatenate(left), np.concatenate(right)
 
 
+def bands(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A key for each row and band: the band's DEEP smallest hashes under different multipliers, mixed; rows without hashes have zeros."""
+    out = np.zeros((len(off) - 1, BANDS), np.uint64)
+    rows = np.flatnonzero(np.diff(off))
+    if len(rows):
+        for i in range(BANDS):
+            key = np.zeros(len(rows), np.uint64)
+            for m in _ODD[i]:
+                key = (key ^ np.minimum.reduceat(h * m, off[rows])) * np.uint64(0x9FB21C651E98DF25)
+                key ^= key >> np.uint64(29)
+            out[rows, i] = key
+    return out
+
+
+def unlinked(group: np.ndarray, comp: np.ndarray):
+    """Chunks of all index pairs (i < j) of the same group and different components; rows sorted by group, then component."""
+    n = len(group)
+    new = group[1:] != group[:-1]
+
+    def ends(new):
+        head = np.flatnonzero(np.concatenate(([True], new)))
+        return np.repeat(np.append(head[1:], n), np.diff(np.append(head, n)))
+
+    own = ends(new | (comp[1:] != comp[:-1]))
+    after = ends(new) - own
+    done, lo = np.concatenate(([0], np.cumsum(after))), 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(done, done[lo] + CHUNK, side="right")) - 1)
+        yield np.repeat(np.arange(lo, hi), after[lo:hi]), _bytes.ranges(own[lo:hi], after[lo:hi])
+        lo = hi
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS) -> DataFrame:
     """(id, sh): the distinct n-word shingles of each text, as hashes."""
 
@@ -250,26 +286,42 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS) ->
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, sh array<long>")
 
 
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(id, key, at, size): each set's first shingles, rare ones first, so many that any two sets of the similarity share one. Empty sets share one of their own."""
+    each = sets.select("id", F.explode(F.when(F.size("sh") > 0, F.col("sh")).otherwise(F.array(F.lit(0).cast("long")))).alias("key"))
+    held = each.groupBy("key").agg(F.count("*").alias("n"))
+    order = each.join(held, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all"))
+    size = F.size("all")
+    first = F.slice("all", F.lit(1), size - F.ceil(similarity * size - 1e-6).cast("int") + 1)
+    return order.select("id", size.alias("size"), F.posexplode(first).alias("at", "x")).where("x.n > 1").select("id", "x.key", "at", "size")
+
+
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, words: int = WORDS, bits: int = FAR) -> DataFrame:
     """(id, component) per row: classes of texts linked by a Jaccard similarity of word shingles of ``similarity`` or more.
 
-    Fingerprints propose, shingle sets decide. Equal texts are one entry from the start. Texts
+    Fingerprints and bands propose, shingle sets decide. Equal texts are one entry from the start. Texts
     near each other in ``bits`` meet under one of the masked patterns of ``masks``; in a
     pattern's group each entry is paired with its class's first and its nearest one,
-    so a group of thousands of near copies costs a few pairs a member. Each pair's similarity is
-    counted exactly, and only those that reach it link. Texts under five words are one shingle; texts
-    without words are copies of each other.
+    so a group of thousands of near copies costs a few pairs a member. Then all texts that share
+    a MinHash band of their shingles and that no verified links join are compared, every pair of them that
+    shares one of its rarest shingles (``prefixes``, which loses no pair): what is found depends on
+    the similarity alone, not on differing bits, the size of groups or the number of texts.
+    Each pair's similarity is counted exactly, and only those that reach it link. Texts under five words are one
+    shingle; texts without words are copies of each other.
     """
     _store.text_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:
-            fp = [fold(*shingle_hashes(data, off)) for _, _, data, off in _bytes.pieces(b.column("t"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(np.concatenate([*fp, np.zeros(0, np.uint64)]).view(np.int64))], ["id", "th", "fp"])
+            parts = [(fold(*shingle_hashes(data, off)), bands(*shingle_hashes(data, off, words))) for _, _, data, off in _bytes.pieces(b.column("t"))]
+            fp = np.concatenate([*(f for f, _ in parts), np.zeros(0, np.uint64)])
+            keys = np.concatenate([*(k.reshape(-1) for _, k in parts), np.zeros(0, np.uint64)])
+            ends = np.arange(len(fp) + 1, dtype=np.int32) * BANDS
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))], ["id", "th", "fp", "bands"])
 
     text = F.when(F.trim(F.col(text_col)) == "", F.lit("")).otherwise(F.coalesce(F.col(text_col), F.lit("")))
-    fps = _store.written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, "id long, th long, fp long"), "simhash-fp")
-    classes = _store.written(fps.groupBy("fp", "th").agg(F.min("id").alias("rep")), "simhash-class")
+    fps = _store.written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, "id long, th long, fp long, bands array<long>"), "simhash-fp")
+    classes = _store.written(fps.groupBy("fp", "th").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "simhash-class")
     named = classes.where("rep IS NOT NULL")
     sampled = masks(named.count())
 
@@ -286,19 +338,51 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                 pairs = np.unique(np.sort(np.column_stack((rep[a], rep[b])), axis=1), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    def rest(batches):
+        for t in _groups.runs(batches, ["key"]):
+            t = t.combine_chunks()
+            key, rep, comp, at, size = (t.column(c).to_numpy() for c in ("key", "rep", "component", "at", "size"))
+            for a, b in unlinked(key, comp):
+                # at their first common shingle, two alike texts have enough shingles left to share
+                left = np.minimum(size[a] - at[a], size[b] - at[b])
+                ok = left * (1 + similarity) >= similarity * (size[a] + size[b]) - 1e-6
+                a, b = a[ok], b[ok]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
+
+    def sets_of(nodes):
+        ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(nodes, F.col("id") == F.col("node"), "left_semi")
+        return _store.written(shingle_sets(ids, "id", "t", words).groupBy("id").agg(F.first("sh").alias("sh")), "simhash-set")
+
+    def alike(pairs, sets):
+        """The pairs that reach the similarity."""
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
+        common = F.size(F.array_intersect("sa", "sb"))
+        every = F.size("sa") + F.size("sb") - common
+        return _store.written(both.where(common >= F.lit(similarity) * every).select("a", "b"), "simhash-link")
+
     keys = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(sampled)]))
     met = named.select("fp", "rep", keys.alias("k")).select("k.mask", "k.key", "fp", "rep").repartition("mask", "key").sortWithinPartitions("mask", "key", gray_rank(F.col("fp")))
     pairs = _store.written(met.mapInArrow(search, "a long, b long").where("a <> b").distinct(), "simhash-pair")
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(nodes, F.col("id") == F.col("node"), "left_semi")
-    sets = _store.written(shingle_sets(ids, "id", "t", words).groupBy("id").agg(F.first("sh").alias("sh")), "simhash-set")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    every = F.size("sa") + F.size("sb") - common
-    links = both.where(common >= F.lit(similarity) * every).select("a", "b")
+    sets = sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
+    links = alike(pairs, sets)
+    _store.forget(sets)
+    _store.forget(pairs)
+
+    # what the fingerprints left apart: texts of one band that the verified links do not join yet
     parts = _groups.connected(links, "simhash-star")
+    banded = named.select("rep", F.posexplode("bands").alias("band", "key")).join(parts, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
+    banded = _store.written(banded, "simhash-band")
+    several = banded.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
+    apart = _store.written(banded.join(several, ["band", "key"], "left_semi").select("rep", "component").distinct(), "simhash-apart")
+    sets = sets_of(apart.select(F.col("rep").alias("node")))
+    pairs = _store.written(prefixes(sets, similarity).join(apart, F.col("id") == F.col("rep")).repartition("key").sortWithinPartitions("key", "component").mapInArrow(rest, "a long, b long").distinct(), "simhash-rest")
+    more = alike(pairs, sets)
+    _store.forget(sets)
+    _store.forget(banded)
+    parts = _groups.connected(links.unionAll(more), "simhash-star")
     of = classes.join(parts, classes.rep == parts.node, "left").select("fp", "th", F.coalesce("component", "rep").alias("component"))
-    return fps.join(of, ["fp", "th"]).select("id", "component")
+    return fps.select("id", "fp", "th").join(of, ["fp", "th"]).select("id", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR) -> DataFrame:

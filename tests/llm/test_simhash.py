@@ -126,3 +126,31 @@ def test_large_groups_cost_a_few_pairs_an_entry():
     a, b = simhash.group_edges(np.sort(fp), np.zeros(5000, int), 12)
     assert len(a) < 4 * 5000
     assert (simhash.roots(5000, a, b) == 0).all()
+
+
+def test_copies_are_found_among_many_that_are_only_close(spark):
+    """Texts of one form, each with one true copy: the nearest fingerprints are mostly others of the form."""
+    rng = random.Random(3)
+    form = [f"form{i}" for i in range(200)]
+    texts = []
+    for i in range(150):
+        w = form.copy()
+        for j in range(12):
+            w[rng.randrange(200)] = f"own{i}x{j}"
+        texts.append(" ".join(w))
+        w[rng.randrange(200)] = f"copy{i}"
+        w[rng.randrange(200)] = f"copy{i}"
+        texts.append(" ".join(w))
+    rows = list(enumerate(texts))
+    want = jaccard_classes(rows)
+    assert len(set(want.values())) > 100
+    got = {r["id"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_every_pair_of_a_group_that_is_apart_is_compared_once():
+    group = np.repeat([1, 2, 3], [1, 40, 3000])
+    comp = np.concatenate(([9], np.arange(40) // 20, np.arange(3000) // 1000))
+    pairs = [(i, j) for a, b in simhash.unlinked(group, comp) for i, j in zip(a.tolist(), b.tolist())]
+    assert len(pairs) == len(set(pairs)) == 20 * 20 + 3 * 1000 * 1000
+    assert all(i < j and group[i] == group[j] and comp[i] != comp[j] for i, j in pairs)
