@@ -154,3 +154,26 @@ def test_every_pair_of_a_group_that_is_apart_is_compared_once():
     pairs = [(i, j) for a, b in simhash.unlinked(group, comp) for i, j in zip(a.tolist(), b.tolist())]
     assert len(pairs) == len(set(pairs)) == 20 * 20 + 3 * 1000 * 1000
     assert all(i < j and group[i] == group[j] and comp[i] != comp[j] for i, j in pairs)
+
+
+def test_alike_texts_are_found_whatever_their_differing_bits(spark):
+    rng = random.Random(17)
+    rows, far = [], 0
+    for i in range(300):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(14)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], "other"]))]
+        far += (brute_print(rows[-1][1]) ^ brute_print(rows[-2][1])).bit_count() > simhash.FAR
+    assert far > 0
+    got = {r["id"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
+def test_share_of_pairs_without_a_band():
+    """Sets of similarity 0.8: 7 in 100,000 pairs share no band by the formula."""
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 1 << 63, (4000, 100), dtype=np.uint64)
+    n = len(h)
+    left = simhash.bands(h[:, :90].reshape(-1), np.arange(n + 1) * 90)
+    right = simhash.bands(h[:, 10:].reshape(-1), np.arange(n + 1) * 90)
+    assert (1 - (1 - 0.8**simhash.DEEP) ** simhash.BANDS) > 0.9999
+    assert np.mean(~(left == right).any(1)) < 0.001
