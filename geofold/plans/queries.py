@@ -476,8 +476,9 @@ def resample_bilinear(spark, sf_dir):
 @query()
 def resample_cubic(spark, sf_dir):
     px = fx.pixels(spark, sf_dir)
-    h, cells = _target(px, spark)
-    return grid.resample(px, cells, 0.0, h, 10.0, "conf", "cubic").select("row", "col", F.round("conf", 8).alias("conf"))
+    west, south, east, north = px.agg(F.min("x") - 5.0, F.min("y") - 5.0, F.max("x") + 5.0, F.max("y") + 5.0).first()
+    cells = grid.target(spark, west, south, east, north, 4.0)
+    return grid.resample(px, cells, west, north, 10.0, "conf", "cubic").select("row", "col", F.round("conf", 8).alias("conf"))
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS px, median(value) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id")

@@ -41,6 +41,13 @@ def test_runs(spark, name):
     assert len(q.QUERIES[name](spark, DATA).toPandas()) > 0
 
 
+def test_cubic_resampling_covers_the_whole_raster(spark):
+    px = q.fx.pixels(spark, DATA).where("conf IS NOT NULL").selectExpr("max(row) AS r", "max(col) AS c").first()
+    out = q.resample_cubic(spark, DATA).selectExpr("max(row) AS r", "max(col) AS c", "min(row) AS r0", "min(col) AS c0").first()
+    assert (out.r0, out.c0) == (0, 0)
+    assert out.r >= px.r * 2.5 and out.c >= px.c * 2.5
+
+
 def test_entry_without_the_other_operators():
     code = "import sys; sys.modules['geofold.llm'] = None; import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.queries()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True)
