@@ -9,8 +9,8 @@ shingles lies whole in some window.
    window without any has containment zero for every template.
 2. A window's kept shingles get ``BANDS`` MinHash values, one a band; equal band values
    retrieve templates of the class. A window that holds 0.8 of a template and nothing of others
-   has a similarity of 0.8, and is missed with probability 0.2 ** BANDS, under 1e-11; at a
-   similarity of 0.4, with 0.6 ** BANDS, under 3e-4.
+   has a similarity of 0.8. One filled up by other templates has 0.8 m / (2c + 0.2 m), over 0.19
+   as m is over c/2: it is missed with probability 0.81 ** BANDS at most, under 2e-6.
 3. A retrieved template matches if at least ``CONTAINED`` of its shingles stand in the window,
    counted exactly.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from geofold.llm import _store
 
-WORDS, CONTAINED, BANDS = 5, 0.8, 16
+WORDS, CONTAINED, BANDS = 5, 0.8, 64
 LIBRARY = 20_000
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 

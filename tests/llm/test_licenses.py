@@ -69,3 +69,19 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = licenses.summary(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_short_templates_among_others_are_found(spark):
+    """Windows full of other templates' shingles: no containment of 8 in 9 is missed."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    notes = [[word() for _ in range(13)] for _ in range(300)]
+    fill = [[word() for _ in range(200)] for _ in range(4)]
+    templates = [(f"N{i}", " ".join(w)) for i, w in enumerate(notes)] + [(f"F{i}", " ".join(w)) for i, w in enumerate(fill)]
+    docs = []
+    for i in range(3000):
+        lo = rng.randrange(100)
+        docs.append((i, " ".join(fill[i % 4][lo : lo + 50] + notes[i % 300][:12] + fill[(i + 1) % 4][lo : lo + 50])))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r["id"], r["license"]) for r in licenses.scan(df, templates=templates).select("id", "license").collect()}
+    assert {(i, f"N{i % 300}") for i in range(3000)} <= got
