@@ -3,7 +3,8 @@
 The queues hold suffixes by first symbol, in the order in which they are induced. As
 suffixes are induced in ascending (or descending) order of what follows, a first-in
 first-out queue per symbol is the priority queue by (symbol, rank). Queues beyond
-``MEMORY`` bytes go to a file; long arrays are memory-mapped files.
+``MEMORY`` bytes go to a file; text, types, ranks and output are arrays in memory. Common
+prefixes are not carried along: callers compare neighbours afterwards.
 """
 
 from __future__ import annotations
