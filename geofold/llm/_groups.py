@@ -54,9 +54,10 @@ def connected(edges: DataFrame, what: str) -> DataFrame:
     last = None
     while True:
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        # minima are written by themselves: a join on u right above its sum could not be split where u is the centre of many
+        low = _store.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), what)
+        large = _store.written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), what)
+        least = _store.written(large.groupBy("u").agg(F.min("v").alias("m")), what)
         small = (
             large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
@@ -66,8 +67,8 @@ def connected(edges: DataFrame, what: str) -> DataFrame:
         )
         new = _store.written(small, what)
         now = new.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if old is not None:
-            _store.forget(old)
+        for done in (low, large, least, *([old] if old is not None else [])):
+            _store.forget(done)
         if now == last:
             break
         last, old, e = now, e, new

@@ -185,60 +185,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # ---------------------------------------------------------------- near copies by similarity
 
 WORDS, SIMILAR = 5, 0.8
-FAR = 12  # bits within which fingerprints propose
-TYPICAL, RECALL = 8, 0.99
-LARGE = 256
 BANDS, DEEP = 24, 5  # two texts of similarity s share no band with probability (1 - s**5)**24: 7e-5 at 0.8, whatever their number
-CHUNK = 1 << 20
+WIDTHS = (1 << 10, 1 << 12, 1 << 14)  # bits of a sketch, by the number of shingles
+WIDER = (800, 3200)
+CHUNK = 1 << 17
+SPLIT = 4096
 _RNG = np.random.default_rng(5)
 _ODD = _RNG.integers(0, 1 << 63, (BANDS, DEEP), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def masks(n: int, seed: int = 11) -> list[int]:
-    """Bit masks for n fingerprints: log2(n) - 2 bits each, so many that two fingerprints TYPICAL bits apart share a pattern with probability RECALL."""
-    k = max(4, min(40, int(n).bit_length() - 2))
-    share = 1.0
-    for i in range(k):
-        share *= (64 - TYPICAL - i) / (64 - i)
-    count = int(np.ceil(np.log(1 - RECALL) / np.log1p(-share)))
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in range(count)]
-
-
-def _edges(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most two pairs an entry: its class's first entry, and the nearest earlier one within ``bits``."""
-    a, b = within(fp, group, bits)
-    root = roots(len(fp), a, b)
-    own = np.flatnonzero(root != np.arange(len(fp)))
-    near = np.full(len(fp), -1)
-    np.maximum.at(near, b, a)
-    also = own[(near[own] >= 0) & (near[own] != root[own])]
-    return np.concatenate((root[own], near[also])), np.concatenate((own, also))
-
-
-def group_edges(fp: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs to compare in groups of any size: larger ones go in runs of LARGE in Gray order, then the runs' first entries among themselves.
-
-    So the work grows with the number of entries, not with its square.
-    """
-    at, left, right = np.arange(len(fp)), [], []
-    while len(at):
-        g = group[at]
-        head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1])))
-        size = np.diff(np.append(head, len(g)))
-        nth = np.arange(len(g)) - np.repeat(head, size)
-        run = np.cumsum(np.concatenate(([True], (g[1:] != g[:-1]) | (nth[1:] % LARGE == 0)))) - 1
-        a, b = _edges(fp[at], run, bits)
-        left.append(at[a])
-        right.append(at[b])
-        joined = np.zeros(len(at), bool)
-        joined[b] = True
-        at = at[~joined & (np.repeat(size, size) > LARGE)]
-        if not np.any(joined):  # no run had a pair: shuffled runs would find none but by chance
-            break
-    return np.concatenate(left), np.concatenate(right)
-
-
 def bands(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     """A key for each row and band: the band's DEEP smallest hashes under different multipliers, mixed; rows without hashes have zeros."""
     out = np.zeros((len(off) - 1, BANDS), np.uint64)
@@ -253,6 +208,62 @@ def bands(h: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out
 
 
+def distinct(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes of each row, sorted, and their offsets."""
+    sets = [np.unique(h[x:y]) for x, y in zip(off[:-1], off[1:])]
+    return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
+
+
+def sketches(h: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """A sketch of each row of distinct hashes: bit i is the parity of the hashes that are i modulo the width.
+
+    Sketches of two sets differ in no more bits than the sets do in elements.
+    """
+    size = np.diff(off)
+    level = np.searchsorted(WIDER, size, side="left")
+    out: list[bytes] = [b""] * len(size)
+    for i, width in enumerate(WIDTHS):
+        rows = np.flatnonzero(level == i)
+        if len(rows):
+            pick = _bytes.ranges(off[rows], size[rows])
+            at = np.repeat(np.arange(len(rows)), size[rows]) * width + (h[pick] & np.uint64(width - 1)).astype(np.int64)
+            odd = (np.bincount(at, minlength=len(rows) * width) & 1).astype(np.uint8).reshape(len(rows), width)
+            for r, bits in zip(rows, np.packbits(odd, axis=1, bitorder="little")):
+                out[r] = bits.tobytes()
+    return out
+
+
+class Sketches:
+    """Sketches of several rows at every width that they have; wider ones fold."""
+
+    def __init__(self, raw: list[bytes]):
+        self.level = np.array([WIDTHS.index(8 * len(x)) for x in raw], np.int64)
+        self.at, self.bits = [], []
+        for i, width in enumerate(WIDTHS):
+            rows = np.flatnonzero(self.level >= i)
+            bits = np.zeros((len(rows), width // 64), np.uint64)
+            for j in range(i, len(WIDTHS)):
+                own = np.flatnonzero(self.level[rows] == j)
+                if len(own):
+                    wide = np.frombuffer(b"".join(raw[r] for r in rows[own]), np.uint64).reshape(len(own), -1, width // 64)
+                    bits[own] = np.bitwise_xor.reduce(wide, axis=1)
+            at = np.zeros(len(raw), np.int64)
+            at[rows] = np.arange(len(rows))
+            self.at.append(at)
+            self.bits.append(bits)
+
+    def differ(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of the pairs (a, b): no more than their sets differ in elements."""
+        level = np.minimum(self.level[a], self.level[b])
+        out = np.zeros(len(a), np.int64)
+        for i in range(len(WIDTHS)):
+            own = np.flatnonzero(level == i)
+            for lo in range(0, len(own), CHUNK >> (2 * i)):
+                o = own[lo : lo + (CHUNK >> (2 * i))]
+                out[o] = np.bitwise_count(self.bits[i][self.at[i][a[o]]] ^ self.bits[i][self.at[i][b[o]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def unlinked(group: np.ndarray, comp: np.ndarray):
     """Chunks of all index pairs (i < j) of the same group and different components; rows sorted by group, then component."""
     n = len(group)
@@ -271,121 +282,172 @@ def unlinked(group: np.ndarray, comp: np.ndarray):
         lo = hi
 
 
+def possible(group, comp, block, size, raw, similarity: float, every: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of a group and different components whose sizes and sketches allow the similarity.
+
+    ``block`` is -1, or tells the two halves of a unit apart, of which only pairs across count.
+    Without ``every``, each entry's nearest earlier one and nearest later one only.
+    """
+    held = Sketches(raw)
+    n = len(group)
+    best = [np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).max)]
+    left, right = [], []
+    for a, b in unlinked(group, comp):
+        ok = ((block[a] != block[b]) | (block[a] < 0)) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-6)
+        a, b = a[ok], b[ok]
+        bits = held.differ(a, b)
+        ok = bits <= (1 - similarity) / (1 + similarity) * (size[a] + size[b]) + 1e-6
+        a, b, bits = a[ok], b[ok], bits[ok]
+        if every:
+            left.append(a)
+            right.append(b)
+        elif len(a):
+            np.minimum.at(best[0], b, bits << 40 | a)
+            np.minimum.at(best[1], a, bits << 40 | b)
+    if not every:
+        for x in best:
+            own = np.flatnonzero(x < np.iinfo(np.int64).max)
+            left.append(own)
+            right.append(x[own] & ((1 << 40) - 1))
+    return np.concatenate([*left, np.zeros(0, np.int64)]), np.concatenate([*right, np.zeros(0, np.int64)])
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS) -> DataFrame:
     """(id, sh): the distinct n-word shingles of each text, as hashes."""
 
     def run(batches):
         for b in batches:
             for lo, hi, data, off in _bytes.pieces(b.column(1)):
-                h, at = shingle_hashes(data, off, n)
-                sets = [np.unique(h[x:y]).view(np.int64) for x, y in zip(at[:-1], at[1:])]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
-                flat = np.concatenate([*sets, np.zeros(0, np.int64)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "sh"])
+                h, at = distinct(*shingle_hashes(data, off, n))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "sh"])
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, sh array<long>")
 
 
-def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(id, key, at, size): each set's first shingles, rare ones first, so many that any two sets of the similarity share one. Empty sets share one of their own."""
-    each = sets.select("id", F.explode(F.when(F.size("sh") > 0, F.col("sh")).otherwise(F.array(F.lit(0).cast("long")))).alias("key"))
-    held = each.groupBy("key").agg(F.count("*").alias("n"))
-    order = each.join(held, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("all"))
-    size = F.size("all")
-    first = F.slice("all", F.lit(1), size - F.ceil(similarity * size - 1e-6).cast("int") + 1)
-    return order.select("id", size.alias("size"), F.posexplode(first).alias("at", "x")).where("x.n > 1").select("id", "x.key", "at", "size")
-
-
-def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, words: int = WORDS, bits: int = FAR) -> DataFrame:
-    """(id, component) per row: classes of texts linked by a Jaccard similarity of word shingles of ``similarity`` or more.
-
-    Fingerprints and bands propose, shingle sets decide. Equal texts are one entry from the start. Texts
-    near each other in ``bits`` meet under one of the masked patterns of ``masks``; in a
-    pattern's group each entry is paired with its class's first and its nearest one,
-    so a group of thousands of near copies costs a few pairs a member. Then all texts that share
-    a MinHash band of their shingles and that no verified links join are compared, every pair of them that
-    shares one of its rarest shingles (``prefixes``, which loses no pair): what is found depends on
-    the similarity alone, not on differing bits, the size of groups or the number of texts.
-    Each pair's similarity is counted exactly, and only those that reach it link. Texts under five words are one
-    shingle; texts without words are copies of each other.
+def _text(text_col: str):
+    """The text; blank and null ones are empty."""
+    return F.when(F.trim(F.col(text_col)) == "", F.lit("")).otherwise(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _key(text_col: str):
+    """The hash that stands for a text."""
+    return F.xxhash64(_text(text_col))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR, words: int = WORDS, bits: int = BITS) -> DataFrame:
+    """(id, th, component, kept) per row: classes of texts linked by a Jaccard similarity of word shingles of ``similarity`` or more.
+
+    ``component`` is the class's smallest id (null if it has none), ``kept`` the text hash of the row
+    that stands for it: of the smallest id, then of the smallest hash.
+
+    1. Equal texts are one entry (by a 64-bit hash). The Gray-ordered index proposes: entries of one fingerprint, and the
+       star edges of fingerprints within ``bits``. Shingle sets, compared exactly, decide, and what is
+       linked is one component from there on.
+    2. Entries of different components that share one of BANDS MinHash bands are compared by size and by sketch, which rule a pair
+       out only if it can't reach the similarity. Each entry proposes its nearest ones on both sides, sets decide, components
+       grow; once half of the proposals fail, all pairs that are left go to the sets.
+
+    So what is found depends on the similarity alone, not on differing bits, the size of groups or the
+    number of texts, and a group of thousands of near copies costs a few pairs a member. A band's
+    bucket of over SPLIT entries is dealt in blocks, a unit for each two of them.
+
+    Texts under five words are one shingle; texts without words are copies of each other. Rows that repeat an id
+    are told apart by their texts; null ids rank last.
     """
-    _store.text_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    _store.text_batches(spark)
 
     def run(batches):
         for b in batches:
-            parts = [(fold(*shingle_hashes(data, off)), bands(*shingle_hashes(data, off, words))) for _, _, data, off in _bytes.pieces(b.column("t"))]
-            fp = np.concatenate([*(f for f, _ in parts), np.zeros(0, np.uint64)])
-            keys = np.concatenate([*(k.reshape(-1) for _, k in parts), np.zeros(0, np.uint64)])
-            ends = np.arange(len(fp) + 1, dtype=np.int32) * BANDS
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))], ["id", "th", "fp", "bands"])
-
-    text = F.when(F.trim(F.col(text_col)) == "", F.lit("")).otherwise(F.coalesce(F.col(text_col), F.lit("")))
-    fps = _store.written(docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("th"), text.alias("t")).mapInArrow(run, "id long, th long, fp long, bands array<long>"), "simhash-fp")
-    classes = _store.written(fps.groupBy("fp", "th").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "simhash-class")
-    named = classes.where("rep IS NOT NULL")
-    sampled = masks(named.count())
-
-    def search(batches):
-        for t in _groups.runs(batches, ["mask", "key"]):
-            t = t.combine_chunks()
-            mask, key, fp, rep = (t.column(c).to_numpy() for c in ("mask", "key", "fp", "rep"))
-            new = np.concatenate(([True], (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])))
-            group = np.cumsum(new)
-            alone = new & np.concatenate((new[1:], [True]))
-            fp, group, rep = fp[~alone].view(np.uint64), group[~alone], rep[~alone]
-            if len(fp):
-                a, b = group_edges(fp, group, bits)
-                pairs = np.unique(np.sort(np.column_stack((rep[a], rep[b])), axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def rest(batches):
-        for t in _groups.runs(batches, ["key"]):
-            t = t.combine_chunks()
-            key, rep, comp, at, size = (t.column(c).to_numpy() for c in ("key", "rep", "component", "at", "size"))
-            for a, b in unlinked(key, comp):
-                # at their first common shingle, two alike texts have enough shingles left to share
-                left = np.minimum(size[a] - at[a], size[b] - at[b])
-                ok = left * (1 + similarity) >= similarity * (size[a] + size[b]) - 1e-6
-                a, b = a[ok], b[ok]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], ["a", "b"])
-
-    def sets_of(nodes):
-        ids = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).join(nodes, F.col("id") == F.col("node"), "left_semi")
-        return _store.written(shingle_sets(ids, "id", "t", words).groupBy("id").agg(F.first("sh").alias("sh")), "simhash-set")
-
-    def alike(pairs, sets):
+            for lo, hi, data, off in _bytes.pieces(b.column("t")):
+                fp = fold(*shingle_hashes(data, off))
+                h, at = shingle_hashes(data, off, words)
+                keys = bands(h, at)
+                h, at = distinct(h, at)
+                ends = np.arange(len(fp) + 1, dtype=np.int32) * BANDS
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("id").slice(lo, hi - lo), b.column("th").slice(lo, hi - lo), pa.array(fp.view(np.int64)), pa.array(np.diff(at).astype(np.int32)), pa.array(sketches(h, at), pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))],
+                    ["id", "th", "fp", "size", "bits", "bands"],
+                )
+
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("th"), _text(text_col).alias("t"))
+    fps = _store.written(texts.mapInArrow(run, "id long, th long, fp long, size int, bits binary, bands array<long>"), "simhash-fp")
+    low = _store.written(fps.groupBy("th").agg(F.min("id").alias("low"), F.first("fp").alias("fp")), "simhash-class")
+    shared = fps.select("th", F.posexplode("bands").alias("band", "key"))
+    several = shared.groupBy("band", "key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("band", "key")
+    member = shared.join(several, ["band", "key"], "left_semi").dropDuplicates(["th", "band"])
+    traits = fps.select("th", "size", "bits").dropDuplicates(["th"])
+    member = _store.written(member.join(traits, "th"), "simhash-band")
+
+    prints = low.groupBy("fp").agg(F.min("th").alias("rep"))
+    same = low.join(prints, "fp").where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
+    pairs = _store.written(same.unionAll(links(prints, bits)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-pair")
+    nodes = member.select("th").unionAll(pairs.select("a")).unionAll(pairs.select("b")).distinct()
+    wanted = low.join(nodes, "th", "left_semi").withColumnsRenamed({"th": "th2"})
+    chosen = texts.join(wanted, (F.col("th") == F.col("th2")) & F.col("id").eqNullSafe(F.col("low"))).select("th", "t")
+    sets = _store.written(shingle_sets(chosen, "th", "t", words).groupBy("id").agg(F.first("sh").alias("sh")), "simhash-set")
+
+    def alike(pairs: DataFrame) -> DataFrame:
         """The pairs that reach the similarity."""
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("sh").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("sh").alias("sb")), "b")
         common = F.size(F.array_intersect("sa", "sb"))
         every = F.size("sa") + F.size("sb") - common
         return _store.written(both.where(common >= F.lit(similarity) * every).select("a", "b"), "simhash-link")
 
-    keys = F.explode(F.array(*[F.struct(F.lit(i).cast("short").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(sampled)]))
-    met = named.select("fp", "rep", keys.alias("k")).select("k.mask", "k.key", "fp", "rep").repartition("mask", "key").sortWithinPartitions("mask", "key", gray_rank(F.col("fp")))
-    pairs = _store.written(met.mapInArrow(search, "a long, b long").where("a <> b").distinct(), "simhash-pair")
-    sets = sets_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct())
-    links = alike(pairs, sets)
-    _store.forget(sets)
-    _store.forget(pairs)
-
-    # what the fingerprints left apart: texts of one band that the verified links do not join yet
-    parts = _groups.connected(links, "simhash-star")
-    banded = named.select("rep", F.posexplode("bands").alias("band", "key")).join(parts, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    banded = _store.written(banded, "simhash-band")
-    several = banded.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-    apart = _store.written(banded.join(several, ["band", "key"], "left_semi").select("rep", "component").distinct(), "simhash-apart")
-    sets = sets_of(apart.select(F.col("rep").alias("node")))
-    pairs = _store.written(prefixes(sets, similarity).join(apart, F.col("id") == F.col("rep")).repartition("key").sortWithinPartitions("key", "component").mapInArrow(rest, "a long, b long").distinct(), "simhash-rest")
-    more = alike(pairs, sets)
+    def proposals(parts: DataFrame, every: bool) -> DataFrame:
+        """Pairs (a, b) that share a band and are in different components."""
+
+        def search(batches):
+            for t in _groups.runs(batches, ["band", "key", "i", "j"]):
+                t = t.combine_chunks()
+                band, key, i, j, th, comp, size, block = (t.column(c).to_numpy() for c in ("band", "key", "i", "j", "th", "component", "size", "block"))
+                group = np.cumsum(np.concatenate(([True], (band[1:] != band[:-1]) | (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+                cut = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+                cut = cut[np.concatenate(([True], np.diff(cut // SPLIT) > 0))].tolist() + [len(group)]  # several small units at once
+                for x, y in zip(cut[:-1], cut[1:]):
+                    a, b = possible(group[x:y], comp[x:y], np.where(i == j, -1, block)[x:y], size[x:y].astype(np.int64), t.column("bits").slice(x, y - x).to_pylist(), similarity, every)
+                    if len(a):
+                        u, v = th[x:y][a], th[x:y][b]
+                        found = np.unique(np.column_stack((np.minimum(u, v), np.maximum(u, v))), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+        at = parts.select(F.col("node").alias("th"), "component")
+        open_ = member.join(at, "th", "left").withColumn("component", F.coalesce("component", "th"))
+        open_ = _store.written(open_, "simhash-open")
+        units = _store.written(open_.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("band", "key", F.ceil(F.col("n") / SPLIT).cast("int").alias("blocks")), "simhash-unit")
+        dealt = open_.join(units, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
+        dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
+        out = dealt.select("band", "key", "i", "j", "component", "th", "size", "block", "bits").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "component")
+        out = _store.written(out.mapInArrow(search, "a long, b long").distinct(), "simhash-rest")
+        _store.forget(open_)
+        return out
+
+    found = alike(pairs)
+    parts = _groups.connected(found, "simhash-star")
+    every = False
+    while True:
+        pairs = proposals(parts, every)
+        more = alike(pairs)
+        asked, got = pairs.count(), more.count()
+        found = found.unionAll(more)
+        if got:
+            parts = _groups.connected(found, "simhash-star")
+        if every:
+            break
+        every = 2 * got < asked or not asked
     _store.forget(sets)
-    _store.forget(banded)
-    parts = _groups.connected(links.unionAll(more), "simhash-star")
-    of = classes.join(parts, classes.rep == parts.node, "left").select("fp", "th", F.coalesce("component", "rep").alias("component"))
-    return fps.select("id", "fp", "th").join(of, ["fp", "th"]).select("id", "component")
+    _store.forget(member)
+    of = low.join(parts, low.th == parts.node, "left").select("th", "low", F.coalesce("component", "th").alias("class"))
+    first = of.groupBy("class").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "th")).alias("first"))
+    named = of.select("th", "class").join(first, "class").select("th", F.col("first.low").alias("component"), F.col("first.th").alias("kept"))
+    return fps.select("id", "th").join(named, "th").select("id", "th", "component", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILAR) -> DataFrame:
-    """The documents less all but the smallest id of each class of similar texts; null ids stay."""
-    kept = similar(docs, id_col, text_col, similarity).where("id = component").select(F.col("id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == kept["__kept"], "left_semi").unionAll(docs.where(F.col(id_col).isNull()))
+    """One row of each class of similar texts: that of the smallest id (null ids last), then of the smallest text hash; of rows equal in both any one."""
+    keyed = docs.withColumns({"__th": _key(text_col), "__id": F.col(id_col).cast("long")})
+    chosen = similar(docs, id_col, text_col, similarity).where("th = kept AND id <=> component").groupBy("id", "th").agg(F.count("*").alias("rows"))
+    chosen = _store.written(chosen.withColumnsRenamed({"id": "__keep", "th": "__text", "rows": "__rows"}), "simhash-kept")
+    kept = keyed.join(chosen, (F.col("__th") == F.col("__text")) & F.col("__id").eqNullSafe(F.col("__keep")))
+    one = kept.where("__rows = 1").unionAll(kept.where("__rows > 1").dropDuplicates(["__id", "__th"]))
+    return one.select(*docs.columns)

@@ -68,7 +68,7 @@ def test_chains_null_ids_and_empty_table(spark):
     got = sorted((str(r["id"]), str(r["component"])) for r in simhash.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [("3", "3"), ("7", "7"), ("None", "7"), ("None", "None")]
     kept = simhash.keep_one(spark.createDataFrame([*rows, (9, "A b C", 0, 0)], SCHEMA))
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "7", "None", "None"]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "7", "None"]
     assert kept.columns == ["doc_id", "text", "k", "fp"]
 
 
@@ -120,12 +120,47 @@ def test_similar_texts_are_found_and_others_left(spark):
     assert spark.createDataFrame([], "doc_id long, text string").transform(simhash.similar).count() == 0
 
 
-def test_large_groups_cost_a_few_pairs_an_entry():
+def test_repeated_rows_and_ids_are_told_apart_by_their_texts(spark):
+    a, b, c = "one two three four five six", "six seven eight nine ten one", "red green blue grey black white"
+    rows = [(1, a), (1, a), (5, b), (5, a), (9, c), (None, c), (None, "lone row of a null id")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, id long").withColumnRenamed("id", "th")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == ["doc_id", "text", "th"]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "lone row of a null id"), (1, a), (5, b), (9, c)]
+
+
+def test_sketches_bound_the_difference_at_every_width():
     rng = np.random.default_rng(2)
-    fp = np.full(5000, 0x0123456789ABCDEF, np.uint64) ^ (np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 5000).astype(np.uint64))
-    a, b = simhash.group_edges(np.sort(fp), np.zeros(5000, int), 12)
-    assert len(a) < 4 * 5000
-    assert (simhash.roots(5000, a, b) == 0).all()
+    sets = [np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64)) for n in (0, 5, 700, 900, 3000, 4000, 9000)]
+    sets += [np.sort(np.concatenate((s[: len(s) * 9 // 10], rng.integers(0, 1 << 63, len(s) // 10, dtype=np.uint64)))) for s in sets]
+    off = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    held = simhash.Sketches(simhash.sketches(np.concatenate(sets), off))
+    a, b = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    differ = held.differ(a, b)
+    real = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+    assert (differ <= real).all() and (differ[a == b] == 0).all()
+    assert all(differ[(a == i) & (b == i + 7)][0] > 0.5 * len(sets[i]) * 0.2 for i in range(2, 7))
+
+
+def test_nearest_proposals_and_blocks_lose_no_pair():
+    rng = np.random.default_rng(7)
+    base = [np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64)) for _ in range(3)]
+    sets = [np.sort(np.concatenate((base[i % 3][rng.random(len(base[i % 3])) > 0.04], rng.integers(0, 1 << 63, 3, dtype=np.uint64)))) for i in range(90)]
+    raw = simhash.sketches(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))))
+    size, one, none = np.array([len(s) for s in sets]), np.zeros(90, int), np.full(90, -1)
+    a, b = simhash.possible(one, np.arange(90), none, size, raw, 0.8, True)
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert want <= set(zip(a.tolist(), b.tolist())) and len(a) < 1.1 * len(want) + 50
+    x, y = simhash.possible(one, np.arange(90), none, size, raw, 0.8, False)
+    assert len(x) <= 2 * 90 and len(set(simhash.roots(90, np.minimum(x, y), np.maximum(x, y)).tolist())) == 3
+    half = np.arange(90) % 2
+    x, y = simhash.possible(one, np.arange(90), half, size, raw, 0.8, True)
+    assert {(i, j) for i, j in want if half[i] != half[j]} <= set(zip(x.tolist(), y.tolist())) and (half[x] != half[y]).all()
+
+
+def test_large_buckets_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SPLIT", 16)
+    test_copies_are_found_among_many_that_are_only_close(spark)
 
 
 def test_copies_are_found_among_many_that_are_only_close(spark):
@@ -162,7 +197,7 @@ def test_alike_texts_are_found_whatever_their_differing_bits(spark):
     for i in range(300):
         w = [f"w{rng.randrange(10**6)}" for _ in range(14)]
         rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-1], "other"]))]
-        far += (brute_print(rows[-1][1]) ^ brute_print(rows[-2][1])).bit_count() > simhash.FAR
+        far += (brute_print(rows[-1][1]) ^ brute_print(rows[-2][1])).bit_count() > simhash.BITS
     assert far > 0
     got = {r["id"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: i - i % 2 for i in range(600)}
