@@ -51,12 +51,12 @@ def init(a):
     issues = cfg.check(cfg.load(a.config)) if Path(a.config).exists() else []
     for d in ("imagery", "labels", "tiles", "embeddings", "predictions", "reports"):
         Path(a.out, d).mkdir(parents=True, exist_ok=True)
-    return cfg.told(issues, "Warning") or f"ready: {a.out}"
+    return cfg.report(issues, "warning") or f"ready: {a.out}"
 
 
 def validate_config(a):
     issues = cfg.check(cfg.load(a.config, a.set))
-    return cfg.told(issues) or "valid"
+    return cfg.report(issues) or "valid"
 
 
 def discover_existing(a, spark):
@@ -73,7 +73,7 @@ def import_labels(a, spark):
     points.write.mode("overwrite").parquet(a.out)
     kept = spark.read.parquet(a.out)
     issues = [r["issue"] for r in labels.validate(kept).orderBy("pos").collect()]
-    return cfg.told(issues, "Warning") or f"{kept.count()} labels"
+    return cfg.report(issues, "warning") or f"{kept.count()} labels"
 
 
 def generate_labels(a, spark):
@@ -185,9 +185,9 @@ def compare_models(a, spark):
 
 
 def ensemble(a, spark):
-    issues = cfg.check_ensemble(a.strategy) + (cfg.check_weights(a.weights, len(a.rasters)) if a.weights else [])
+    issues = cfg.broken("ensemble", a.strategy) + (cfg.broken("weights", (a.weights, len(a.rasters))) if a.weights else [])
     if issues:
-        raise ValueError(cfg.told(issues))
+        raise ValueError(cfg.report(issues))
     if a.strategy == "probability_average":
         raise ValueError("probability_average works on probability tables: use functions.votes.average")
     wide = aligned(spark, a.rasters)

@@ -34,6 +34,7 @@ def validate(points: DataFrame, aoi: tuple[float, float, float, float] | None =
     facts = points.agg(F.count("*").alias("n"), F.count_if(~inside).alias("outside"), F.count_if(F.coalesce(F.col("lc_class") < 0, F.lit(True))).alias("bad"), *[F.count_if(F.col("lc_name") == c).alias(f"n_{c}") for c in CLASSES])
     twins = duplicate_pairs(points, tolerance).agg(F.count("*").alias("twins"))
     text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    # fixed values: the issue texts, as tools that read them expect
     rules = [
         (F.col("n") == 0, F.lit("No valid label points after class mapping")),
         ((F.col("outside") > 0) if aoi else F.lit(False), text(F.col("outside"), " points are outside the AOI")),

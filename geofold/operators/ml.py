@@ -8,14 +8,14 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geofold.functions.classes import N_CLASSES
 from geofold.functions.votes import argmax
 from geofold.operators import labels as label_ops
 from geofold.operators import metrics
 
-KINDS = ("random_forest", "logistic", "mlp", "boosted")
+#: Classifier names and what stands behind them.
+KINDS = {"random_forest": "random_forest", "mlp": "mlp", "logistic": "logistic", "linear": "logistic", "boosted": "boosted", "xgboost": "boosted"}
 
 
 def matched(embeddings: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -28,27 +28,33 @@ def matched(embeddings: DataFrame, labelled: DataFrame) -> DataFrame:
 
 def features(rows: DataFrame, balanced: bool = False) -> DataFrame:
     out = rows.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>"))).withColumn("label", F.col("cls").cast("double"))
-    if balanced:  # n / (k * n_c)
-        per = F.count("*").over(Window.partitionBy("cls"))
-        k = rows.select("cls").distinct().count()
-        out = out.withColumn("weight", F.lit(float(rows.count())) / (k * per))
+    if balanced:  # n / (k * n_c): a weight a class, a literal map of N_CLASSES entries at most
+        counts = {r["cls"]: r["count"] for r in rows.groupBy("cls").count().collect() if r["cls"] is not None}
+        n = sum(counts.values())
+        weight = F.lit(1.0)
+        for c, m in counts.items():
+            weight = F.when(F.col("cls") == c, F.lit(n / (len(counts) * m))).otherwise(weight)
+        out = out.withColumn("weight", weight)
     return out
 
 
-def estimator(kind: str, dim: int, n_rows: int = 1000, **params) -> Estimator:
-    """A classifier over N_CLASSES classes; ``boosted`` is one boosted tree model a class."""
+def estimator(kind: str | Estimator, dim: int, n_rows: int = 1000, **params) -> Estimator:
+    """A classifier over N_CLASSES classes; ``boosted`` is one boosted tree model a class. An estimator of the caller's is taken as it is."""
+    if isinstance(kind, Estimator):
+        return kind.copy()
+    if kind not in KINDS:
+        raise ValueError(f"unknown classifier {kind!r}; one of {', '.join(KINDS)}")
+    kind = KINDS[kind]
     if kind == "random_forest":
         return RandomForestClassifier(numTrees=params.get("trees", 200), maxDepth=params.get("depth", 25), seed=42, weightCol="weight")
     if kind == "logistic":
         return LogisticRegression(regParam=1.0 / (params.get("c", 1.0) * n_rows), maxIter=params.get("iterations", 1000), standardization=False)
     if kind == "mlp":
         return MultilayerPerceptronClassifier(layers=[dim, *params.get("hidden", (512, 256)), N_CLASSES], maxIter=params.get("iterations", 100), seed=42)
-    if kind == "boosted":
-        return OneVsRest(classifier=GBTClassifier(maxIter=params.get("rounds", 500), maxDepth=params.get("depth", 8), stepSize=0.1, subsamplingRate=0.8, seed=42))
-    raise ValueError(f"unknown classifier {kind!r}; one of {', '.join(KINDS)}")
+    return OneVsRest(classifier=GBTClassifier(maxIter=params.get("rounds", 500), maxDepth=params.get("depth", 8), stepSize=0.1, subsamplingRate=0.8, seed=42))
 
 
-def train(rows: DataFrame, kind: str, **params):
+def train(rows: DataFrame, kind: str | Estimator, **params):
     rows = features(rows, balanced=kind == "random_forest").persist()
     try:
         first = rows.first()

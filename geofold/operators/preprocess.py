@@ -12,6 +12,7 @@ MODELS = {
     "satlas": {"bands": ["B4", "B3", "B2"], "size": 256, "mean": [0.485, 0.456, 0.406], "std": [0.229, 0.224, 0.225]},
     "ssl4eo": {"bands": ["B2", "B3", "B4", "B8", "B11", "B12"], "size": 224, "mean": [0.0] * 6, "std": [1.0] * 6},
 }
+# The usual order of the exported bands.
 POSITIONS = {"B2": 1, "B3": 2, "B4": 3, "B8": 4, "B11": 5, "B12": 6}
 
 
@@ -21,13 +22,15 @@ def settings(model: str, **overrides) -> dict:
 
 
 def band_indices(bands: list[str], descriptions: list[str | None]) -> list[int]:
-    """1-based places of bands: by description, else by usual order within the band count, else one after another."""
-    out: list[int] = []
-    for b in bands:
-        named = [i for i, d in enumerate(descriptions, 1) if b.lower() in (d or "").lower()]
-        usual = POSITIONS.get(b)
-        out.append(named[0] if named else min(usual, len(descriptions)) if usual else len(out) + 1)
-    return out
+    """1-based places of bands in a raster, by one lookup of its descriptions over the usual order.
+
+    A band of neither stands at its own place in the list; places beyond the raster's last band are the last.
+    """
+    places = dict(POSITIONS)
+    for at in range(len(descriptions), 0, -1):  # the first description that names a band wins
+        places.update({b: -at for b in bands if b.lower() in str(descriptions[at - 1] or "").lower()})
+    most = len(descriptions)
+    return [-p if p < 0 else min(p, most) if b in places else p for p, b in ((places.get(b, i), b) for i, b in enumerate(bands, 1))]
 
 
 def masked(pixels: DataFrame, nodata: float | None = None) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Configuration: YAML with dotted overrides, and checks that return lists of issues."""
+"""Configuration: YAML with dotted overrides, and a table of rules over its settings and the commands' arguments."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
+from typing import Any
 
 import yaml
 
@@ -10,13 +13,6 @@ from geofold.functions.classes import CLASSES
 from geofold.operators.embed import available
 from geofold.operators.ml import KINDS
 
-DEVICES = ("cpu", "cuda", "mps", "auto")
-EXPORTS = ("drive", "cloud_storage", "asset")
-ENSEMBLES = ("majority_vote", "weighted_vote", "probability_average")
-FUSIONS = ("high_res_priority", "confidence_weighted")
-RASTERS = (".tif", ".tiff", ".img", ".vrt")
-VECTORS = (".geojson", ".json", ".csv", ".shp", ".gpkg")
-
 
 def load(path: str, overrides: list[str] | None = None) -> dict:
     """A YAML file with ``a.b=value`` overrides merged over it; values are read as YAML."""
@@ -34,84 +30,78 @@ def load(path: str, overrides: list[str] | None = None) -> dict:
     return out
 
 
-def check(config: dict) -> list[str]:
-    issues = [f"missing section: {s}" for s in ("project", "existing_models", "processing") if s not in config]
-    base = (config.get("existing_models") or {}).get("base_path")
-    if base and not Path(base).exists():
-        issues.append(f"base_path not found: {base}")
-    device = (config.get("processing") or {}).get("device", "cpu")
-    if device not in DEVICES:
-        issues.append(f"processing.device is {device!r}, not one of {', '.join(DEVICES)}")
-    named = set(((config.get("class_schema") or {}).get("classes")) or {})
-    if named and named != set(CLASSES):
-        issues.append(f"class_schema has {sorted(named)}, not {sorted(CLASSES)}")
-    strategy = (config.get("gee_export") or {}).get("strategy", "drive")
-    if strategy not in EXPORTS:
-        issues.append(f"gee_export.strategy is {strategy!r}, not one of {', '.join(EXPORTS)}")
-    tiles = config.get("tiles") or {}
-    if tiles.get("size") is not None and tiles["size"] <= 0:
-        issues.append(f"tiles.size is {tiles['size']}, not positive")
-    if tiles.get("overlap", 0) < 0:
-        issues.append(f"tiles.overlap is {tiles['overlap']}, negative")
-    return issues
-
-
-def one_of(kind: str, value: str, known) -> list[str]:
-    return [] if value in known else [f"unknown {kind} {value!r}; one of {', '.join(sorted(known))}"]
-
-
-def check_model(name: str) -> list[str]:
-    return one_of("model", name, available())
-
-
-def check_classifier(name: str) -> list[str]:
-    return one_of("classifier", name, KINDS)
-
-
-def check_ensemble(name: str) -> list[str]:
-    return one_of("ensemble strategy", name, ENSEMBLES)
-
-
-def check_fusion(name: str) -> list[str]:
-    return one_of("fusion strategy", name, FUSIONS)
-
-
-def check_file(path: str, what: str = "file", suffixes: tuple[str, ...] = ()) -> list[str]:
-    p = Path(path)
-    if not p.exists():
-        return [f"{what} not found: {path}"]
-    if not p.is_file():
-        return [f"{what} is not a file: {path}"]
-    if suffixes and p.suffix.lower() not in suffixes:
-        return [f"{what} {p.name} is not one of {', '.join(suffixes)}"]
-    return []
-
-
-def check_raster(path: str) -> list[str]:
-    return check_file(path, "raster", RASTERS)
-
-
-def check_vector(path: str) -> list[str]:
-    return check_file(path, "vector file", VECTORS)
+@dataclass(frozen=True)
+class Rule:
+    """A condition on a value and what to say where it fails; ``last`` if the topic's later rules need it."""
+
+    ok: Callable[[Any], bool]
+    say: str
+    last: bool = False
+
+
+def _listed(names) -> Rule:
+    return Rule(lambda v: v in names, "{value!r} is none of " + " ".join(sorted(names)))
+
+
+def _suffixed(suffixes: tuple[str, ...]) -> list[Rule]:
+    return [
+        Rule(lambda v: Path(v).exists(), "nothing at {value}", last=True),
+        Rule(lambda v: Path(v).is_file(), "{value} is a folder", last=True),
+        Rule(lambda v: str(v).lower().endswith(suffixes), "{value} ends in none of " + " ".join(suffixes)),
+    ]
+
+
+#: Rules by topic. A topic with a dotted place is a setting of the configuration, checked where it is given.
+RULES: dict[str, list[Rule]] = {
+    "existing_models.base_path": [Rule(lambda v: Path(v).exists(), "nothing at {value}")],
+    "processing.device": [_listed(("auto", "cpu", "cuda", "mps"))],
+    "gee_export.strategy": [_listed(("asset", "cloud_storage", "drive"))],
+    "class_schema.classes": [Rule(lambda v: not v or set(v) == set(CLASSES), "its names are not those of the engine's schema")],
+    "tiles.size": [Rule(lambda v: v > 0, "{value} is no size")],
+    "tiles.overlap": [Rule(lambda v: v >= 0, "{value} is no overlap")],
+    "model": [_listed(tuple(available()))],
+    "classifier": [_listed(KINDS)],
+    "ensemble": [_listed(("majority_vote", "probability_average", "weighted_vote"))],
+    "fusion": [_listed(("confidence_weighted", "high_res_priority"))],
+    "raster": _suffixed((".tif", ".tiff", ".geotiff")),
+    "vector": _suffixed((".csv", ".geojson", ".gpkg", ".json", ".shp")),
+    "weights": [  # (weights, number of rasters)
+        Rule(lambda v: len(v[0]) == v[1], "there must be as many weights as rasters"),
+        Rule(lambda v: min(v[0], default=0) >= 0, "a weight is below zero"),
+        Rule(lambda v: sum(v[0]) > 0, "all weights together are not above zero"),
+    ],
+}
+SECTIONS = ("project", "existing_models", "processing")
+
+
+def broken(topic: str, value: Any) -> list[str]:
+    """What the rules of a topic say against a value."""
+    out = []
+    for rule in RULES[topic]:
+        if not rule.ok(value):
+            out.append(f"{topic}: " + rule.say.format(value=value))
+            if rule.last:
+                break
+    return out
 
 
-def check_weights(weights: list[float], models: int) -> list[str]:
-    issues = []
-    if len(weights) != models:
-        issues.append(f"{len(weights)} weights for {models} models")
-    if any(w < 0 for w in weights):
-        issues.append("a weight is negative")
-    if sum(weights) <= 0:
-        issues.append("the weights add up to nothing")
-    return issues
+def setting(config: dict | None, place: str) -> Any:
+    """The value at a dotted place, or None."""
+    at: Any = config
+    for key in place.split("."):
+        at = at.get(key) if isinstance(at, dict) else None
+    return at
 
 
-def check_section(config: dict | None, section: str) -> list[str]:
-    return ["no configuration"] if config is None else [] if config.get(section) is not None else [f"missing section: {section}"]
+def check(config: dict | None) -> list[str]:
+    """Sections that must be there, then every setting that has rules and is given."""
+    out = [f"{s}: not in the configuration" for s in SECTIONS if setting(config, s) is None and s not in (config or {})]
+    for place in RULES:
+        if "." in place and (value := setting(config, place)) is not None:
+            out += broken(place, value)
+    return out
 
 
-def told(issues: list[str], prefix: str = "Error") -> str:
-    """Issues as text: none is empty, one a line, more a list."""
-    if len(issues) < 2:
-        return f"{prefix}: {issues[0]}" if issues else ""
-    return "\n".join([f"{prefix}s ({len(issues)}):", *[f"  - {i}" for i in issues]])
+def report(found: list[str], kind: str = "problem") -> str:
+    """One line for all that was found; empty for nothing."""
+    return f"{len(found)} {kind}{'s' * (len(found) != 1)}: " + "; ".join(found) if found else ""

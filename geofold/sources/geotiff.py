@@ -22,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
 TILE_W, TILE_H, TILES, TILE_BYTES, FORMAT, SCALE, TIEPOINT, GEO_KEYS, NODATA = 322, 323, 324, 325, 339, 33550, 33922, 34735, 42113
 TYPES = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
-EXTENSIONS = (".tif", ".tiff", ".img", ".vrt")
+EXTENSIONS = (".tif", ".tiff", ".geotiff")
 
 
 @dataclass

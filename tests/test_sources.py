@@ -103,10 +103,14 @@ def test_config(tmp_path):
     assert config.check(config.load(p)) == []
     bad = config.load(p, ["processing.device=tpu", "tiles.size=0", "tiles.overlap=-1", "gee_export.strategy=cloud", "class_schema.classes.x=1"])
     assert len(config.check(bad)) == 5 and len(config.check({})) == 3
-    assert config.check_weights([1.0, -1.0], 3) and not config.check_weights([1.0, 0.0], 2)
-    assert config.check_model("prithvi") == [] and config.check_classifier("svm") and config.check_fusion("x") and config.check_ensemble("majority_vote") == []
-    assert config.told(["a"]) == "Error: a" and config.told([]) == "" and config.told(["a", "b"]).count("\n") == 2
-    assert config.check_raster(str(p)) and config.check_vector("/nope") and config.check_section({}, "x")
+    assert len(config.broken("weights", ([1.0, -1.0], 3))) == 3 and not config.broken("weights", ([1.0, 0.0], 2)) and config.broken("weights", ([], 0))
+    assert not config.broken("model", "prithvi") and config.broken("classifier", "svm") and not config.broken("classifier", "xgboost") and not config.broken("classifier", "linear")
+    assert config.broken("fusion", "x") and not config.broken("ensemble", "majority_vote")
+    assert config.broken("raster", str(p)) and len(config.broken("vector", "/nope")) == 1 and "folder" in config.broken("vector", str(tmp_path))[0]
+    for name in ("a.TIF", "b.geotiff", "c.img"):
+        (tmp_path / name).write_bytes(b"")
+    assert [bool(config.broken("raster", str(tmp_path / n))) for n in ("a.TIF", "b.geotiff", "c.img")] == [False, False, True]
+    assert config.report([]) == "" and config.report(["a"]) == "1 problem: a" and config.report(["a", "b"], "warning") == "2 warnings: a; b"
 
 
 def test_discovery(spark, tmp_path):
