@@ -4,17 +4,22 @@ Vectors are turned by pseudo-rotations (three rounds of random signs and a fast
 transform) and assigned to the nearest signed axis, one bucket in each of ``TABLES``
 tables. A query probes the best ``PROBES`` (a share) of the axes in every table; the vectors in those
 buckets are its candidates, and their inner products on the original vectors, in double
-precision, give the order.
+precision, give the order. A query that finds fewer than K goes on with twice the share of
+axes, and so on up to all of them, so it gets K or all there are.
 
 Largest inner products are nearest angles if norms are equal; where they differ, vectors
-get one more component that makes them equal, and queries a zero. Bucket tables are dealt
-by (table, bucket, salt); salts split buckets to about ``BLOCK`` vectors whatever the input. Of equal
-vectors only the K + 1 smallest ids can be in any answer, so only those enter the tables,
-cut down before the shuffle; equal queries are searched once. A task merges what its buckets
-found before it sends K + 1 rows a query on.
+get one more component that makes them equal, and queries a zero.
+
+Vectors are dealt once, into blocks of about 16 times the root of their number; a task holds the tables
+of one block, and queries stream past it, a copy for each block: what is shuffled grows with the power
+1.5 of the rows, and memory with the block. Of equal vectors only the K + 1 smallest ids can
+be in any answer, so only those enter the blocks; equal queries are searched once. A task
+merges what its blocks found before it sends K + 1 rows a query on.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite
-components take no part. Ties go to smaller ids. Repeated ids are candidates of their own.
+components take no part. Ties go to smaller ids. Every row is a candidate of its own, rows
+that repeat an id or are equal in all included; a query leaves out its own row only. Rows equal in id and vector
+ask once; rows of one id with several vectors ask once for each.
 """
 
 from __future__ import annotations
@@ -26,9 +31,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from geofold.llm import _groups, _store
+from geofold.llm import _store
 
-K, TABLES, PROBES, SEED, BLOCK = 20, 6, 0.16, 7, 4096
+K, TABLES, PROBES, SEED = 20, 6, 0.16, 7
+BLOCKS = (512, 1 << 17)  # least and most vectors of a block
+ASKS = 256
 SLACK = 20  # candidates beyond K whose order is settled by exact sums
 
 
@@ -80,105 +87,117 @@ def _matrix(col, dim: int) -> np.ndarray:
     return col.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def _best(q, i, s, k):
-    """The k best (largest score, smallest id) of each query, without repeats of an id."""
-    order = np.lexsort((i, -s, q))
-    q, i, s = q[order], i[order], s[order]
-    keep = np.concatenate(([True], (q[1:] != q[:-1]) | (i[1:] != i[:-1]) | (s[1:] != s[:-1]))) if len(q) else np.zeros(0, bool)
-    q, i, s = q[keep], i[keep], s[keep]
-    head = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1]))) if len(q) else np.zeros(0, int)
-    nth = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q))))
-    return q[nth < k], i[nth < k], s[nth < k]
+def _best(found: list[tuple], k: int) -> tuple:
+    """The k best (largest score, smallest id) of each query among (query, id, row, copies, score), without repeats of a row."""
+    q, i, r, m, s = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((r, i, -s, q))
+    q, i, r, m, s = (x[order] for x in (q, i, r, m, s))
+    if len(q):
+        new = np.concatenate(([True], (q[1:] != q[:-1]) | (r[1:] != r[:-1])))
+        q, i, r, m, s = (x[new] for x in (q, i, r, m, s))
+        head = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
+        near = np.arange(len(q)) - np.repeat(head, np.diff(np.append(head, len(q)))) < k
+        q, i, r, m, s = (x[near] for x in (q, i, r, m, s))
+    return q, i, r, m, s
+
+
+class Block:
+    """The tables of some vectors."""
+
+    def __init__(self, turn: Rotations, tables: int, ids, rows, copies, x: np.ndarray, turned: np.ndarray):
+        self.turn, self.ids, self.rows, self.copies, self.x = turn, ids, rows, copies, x
+        self.buckets = [turn.bucket(turned, t) for t in range(tables)]
+
+    def search(self, asks, x: np.ndarray, turned: np.ndarray, share: float, few: int) -> tuple:
+        """(query, id, row, copies, score) of the best ``few`` candidates of each query."""
+        axes = 2 * self.turn.width
+        met = np.zeros((len(asks), len(self.ids)), bool)
+        for t, bucket in enumerate(self.buckets):
+            probed = np.zeros((len(asks), axes), bool)
+            np.put_along_axis(probed, self.turn.probes(turned, t, max(1, round(share * axes))), True, axis=1)
+            met |= probed[:, bucket]
+        rough = np.where(met, x @ self.x.T, -np.inf)
+        few = min(few, rough.shape[1])
+        pick = np.argpartition(-rough, few - 1, axis=1)[:, :few]
+        left, right = np.repeat(np.arange(len(asks)), few), pick.ravel()
+        ok = met[left, right]
+        left, right = left[ok], right[ok]
+        exact = (x[left] * self.x[right]).sum(axis=1)  # summed in one order, so equal vectors have equal scores
+        return asks[left], self.ids[right], self.rows[right], self.copies[right], exact
 
 
 def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, tables: int = TABLES, probes: float = PROBES) -> DataFrame:
     """(query, rank, id, score): the k nearest found of each row for which ``is_query`` (a column over id) holds."""
     spark = vectors.sparkSession
-    kind = vectors.schema[vec_col].dataType.elementType
-    real = np.float32 if isinstance(kind, T.FloatType) else np.float64
-    rows = usable(vectors, id_col, vec_col)
-    if real is np.float64:
-        rows = rows.select("id", F.transform("v", lambda x: x.cast("double")).alias("v"))
+    if isinstance(vectors.schema[vec_col].dataType.elementType, T.FloatType):
+        rows = usable(vectors, id_col, vec_col)
+    else:
+        rows = usable(vectors.withColumn(vec_col, F.transform(vec_col, lambda x: x.cast("double"))), id_col, vec_col)
+    rows = rows.groupBy("id", "v").agg(F.count("*").cast("int").alias("m")).withColumn("r", F.xxhash64("id", "v"))
     copies = Window.partitionBy("v").orderBy("id")
-    base = _store.written(rows.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).select("id", "v"), "ann-base")
+    base = _store.written(rows.withColumn("nth", F.row_number().over(copies)).where(F.col("nth") <= k + 1).select("id", "r", "m", "v"), "ann-base")
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     facts = base.agg(F.count("*").alias("n"), F.max(norm).alias("most"), F.min(norm).alias("least"), F.first(F.size("v")).alias("dim")).first()
     n, dim, most = facts["n"], facts["dim"] or 1, facts["most"] or 1.0
     wider = bool(n) and (most - facts["least"]) > 1e-3 * most
     turn = spark.sparkContext.broadcast(Rotations(dim + wider, tables))
-    salts = max(1, -(-n // (2 * turn.value.width * BLOCK)))
-    asked = rows.where(is_query).select("id", "v")
-    classes = asked.groupBy("v").agg(F.min("id").alias("query"))
+    blocks = max(1, -(-n // min(BLOCKS[1], max(BLOCKS[0], int(16 * n**0.5)))))
+    asked = rows.where(is_query).select("id", "r", "v")
+    classes = _store.written(asked.groupBy("v").agg(F.min("r").alias("query")), "ann-query")
 
     def prepared(x: np.ndarray, query: bool) -> np.ndarray:
-        x = x.astype(np.float64)
         if not wider:
             return x
         extra = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, most * most - (x * x).sum(axis=1)))
         return np.column_stack((x, extra))
 
-    out = "t int, b int, s int, q boolean, id long, v binary"
-
-    def rows_of(t, b, s, query, ids, x):
-        raw = np.ascontiguousarray(x).view(np.uint8).reshape(-1)
-        at = pa.py_buffer(np.arange(0, len(raw) + 1, x.shape[1] * x.itemsize, dtype=np.int32))
-        v = pa.Array.from_buffers(pa.binary(), len(ids), [None, at, pa.py_buffer(raw)])
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int32)), pa.array(b.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(np.full(len(ids), query)), pa.array(ids), v], ["t", "b", "s", "q", "id", "v"])
-
-    def place(batches):
-        for b in batches:
-            ids, x = b.column("id").to_numpy(), _matrix(b.column("v"), dim).astype(real)
-            y = prepared(x, False)
-            for t in range(tables):
-                yield rows_of(t, turn.value.bucket(y, t), ids % salts, False, ids, x)
-
-    def ask(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 500):
-                b = whole.slice(lo, 500)
-                ids, x = b.column("id").to_numpy(), _matrix(b.column("v"), dim).astype(real)
-                y = prepared(x, True)
-                for t in range(tables):
-                    axes = turn.value.probes(y, t, max(1, round(probes * 2 * turn.value.width)))
-                    m = axes.shape[1]
-                    for s in range(salts):
-                        yield rows_of(t, axes.reshape(-1), np.full(axes.size, s), True, np.repeat(ids, m), np.repeat(x, m, axis=0))
-
-    def rerank(batches):
-        held, size = [], 0
-        for table in _groups.runs(batches, ["t", "b", "s"]):
-            table = table.combine_chunks()
-            key = np.stack([table.column(c).to_numpy() for c in ("t", "b", "s")])
-            query, ids = table.column("q").to_numpy(), table.column("id").to_numpy()
-            x = np.frombuffer(b"".join(table.column("v").to_pylist()), real).reshape(-1, dim).astype(np.float64)
-            cut = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0), [True])))
-            for a, z in zip(cut[:-1], cut[1:]):
-                asks, have = a + np.flatnonzero(query[a:z]), a + np.flatnonzero(~query[a:z])
-                if not len(asks) or not len(have):
-                    continue
-                for lo in range(0, len(asks), 512):
-                    part = asks[lo : lo + 512]
-                    rough = x[part] @ x[have].T
-                    few = min(len(have), k + 1 + SLACK)
-                    pick = np.argpartition(-rough, few - 1, axis=1)[:, :few]
-                    left, right = np.repeat(part, few), have[pick.ravel()]
-                    exact = (x[left] * x[right]).sum(axis=1)  # summed in one order, so equal vectors have equal scores
-                    held.append(_best(ids[left], ids[right], exact, k + 1))
-                    size += len(held[-1][0])
-                if size > 500_000:
-                    held = [_best(*map(np.concatenate, zip(*held)), k + 1)]
-                    size = len(held[0][0])
-        if held:
-            q, i, s = _best(*map(np.concatenate, zip(*held)), k + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query", "id", "score"])
-
-    both = base.mapInArrow(place, out).unionAll(classes.select(F.col("query").alias("id"), "v").mapInArrow(ask, out))
-    found = both.repartition("t", "b", "s").sortWithinPartitions("t", "b", "s").mapInArrow(rerank, "query long, id long, score double")
-    near = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    found = found.distinct().withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k + 1)
-    members = asked.join(classes, "v").select(F.col("id").alias("member"), "query").distinct()
-    own = Window.partitionBy("member").orderBy(F.desc("score"), "id")
-    return (
-        members.join(found, "query").where("member <> id").withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
-        .select(F.col("member").alias("query"), "rank", "id", "score")
-    )
+    def nearest(classes: DataFrame, share: float, tables: int) -> DataFrame:
+        """(query, id, r, m, score) of the classes (query, v), by the probed share of axes."""
+
+        def run(batches):
+            now, parts, block, held, size = None, [], None, [], 0
+            for b in batches:
+                s, ask = b.column("s").to_numpy(), b.column("q").to_numpy(zero_copy_only=False)
+                cut = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (ask[1:] != ask[:-1]), [True]))) if len(s) else [0]
+                for lo, hi in zip(cut[:-1], cut[1:]):
+                    if not ask[lo]:  # a block's vectors come before its queries
+                        if s[lo] != now:
+                            now, parts, block = s[lo], [], None
+                        parts.append(b.slice(lo, hi - lo))
+                    elif s[lo] == now:
+                        if block is None:
+                            t, parts = pa.Table.from_batches(parts).combine_chunks(), []
+                            x = _matrix(t.column("v").chunk(0), dim).astype(np.float64)
+                            block = Block(turn.value, tables, *(t.column(c).to_numpy() for c in ("id", "r", "m")), x, prepared(x, False))
+                        for at in range(lo, hi, ASKS):
+                            some = b.slice(at, min(ASKS, hi - at))
+                            x = _matrix(some.column("v"), dim).astype(np.float64)
+                            held.append(_best([block.search(some.column("r").to_numpy(), x, prepared(x, True), share, k + 1 + SLACK)], k + 1))
+                            size += len(held[-1][0])
+                            if size > 500_000:
+                                held = [_best(held, k + 1)]
+                                size = len(held[0][0]) // 2  # merged again once as much has come
+            if held:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _best(held, k + 1)], ["query", "id", "r", "m", "score"])
+
+        placed = base.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("s"), F.lit(False).alias("q"), "id", "r", "m", "v")
+        asks = classes.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("s"), F.lit(True).alias("q"), F.lit(0).cast("long").alias("id"), F.col("query").alias("r"), F.lit(0).alias("m"), "v")
+        return placed.unionAll(asks).repartition("s").sortWithinPartitions("s", "q").mapInArrow(run, "query long, id long, r long, m int, score double")
+
+    near = Window.partitionBy("query").orderBy(F.desc("score"), "id", "r")
+    found, short, share = None, classes, min(1.0, probes)
+    while True:
+        more = nearest(short, share, tables if share < 1 else 1)
+        more = more if found is None else found.unionAll(more)
+        found = _store.written(more.dropDuplicates(["query", "r"]).withColumn("nth", F.row_number().over(near)).where(F.col("nth") <= k + 1).drop("nth"), "ann-found")
+        if share >= 1:
+            break
+        full = found.groupBy("query").count().where(F.col("count") >= min(k + 1, n)).select("query")
+        short, share = classes.join(full, "query", "left_anti"), min(1.0, 2 * share)
+        if short.isEmpty():
+            break
+    members = asked.join(classes, "v").select(F.col("id").alias("member"), F.col("r").alias("own"), "query")
+    left = F.col("m") - (F.col("r") == F.col("own")).cast("int")
+    each = members.join(found, "query").withColumn("left", left).where("left > 0").select("member", "own", "id", "r", "score", F.explode(F.sequence(F.lit(1), F.least("left", F.lit(k)))).alias("copy"))
+    own = Window.partitionBy("member", "own").orderBy(F.desc("score"), "id", "r", "copy")
+    return each.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k).select(F.col("member").alias("query"), "rank", "id", "score")

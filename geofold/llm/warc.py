@@ -190,7 +190,8 @@ def _batch(rows) -> pa.RecordBatch:
 def resolve(heads: DataFrame, at_least: int = AT_LEAST) -> DataFrame:
     """(path, start, original, original_url) of every record; original names the response of a revisit."""
     place = F.struct("page_id", F.col("path").alias("path"), (-F.col("start")).alias("back"), "url")
-    best = heads.where(F.col("payload_bytes") >= at_least).groupBy("payload_digest", "payload_bytes").agg(F.max(place).alias("top"))
+    # written by itself: a join right above its sum could not be split where a digest is hot
+    best = _store.written(heads.where(F.col("payload_bytes") >= at_least).groupBy("payload_digest", "payload_bytes").agg(F.max(place).alias("top")), "warc-best")
     own = (F.col("top.path") == F.col("path")) & (F.col("top.back") == -F.col("start"))
     return heads.join(best, ["payload_digest", "payload_bytes"], "left").select(
         "path", "start", (F.col("top").isNull() | own).alias("first"), F.col("top.page_id").alias("original"), F.col("top.url").alias("original_url")

@@ -59,3 +59,31 @@ def test_unusable_vectors_take_no_part(spark):
     assert found(spark, []) == {} and found(spark, [(0, None, 0.0, 0)]) == {}
     double = found(spark, [(0, [1e-3, 1 / 3], 0.0, 0), (1, [0.1, 0.2], 0.0, 0)], SCHEMA.replace("float", "double"), probes=1)
     assert double[0][0] == (1, pytest.approx(1e-4 + 0.2 / 3, abs=1e-15))
+
+
+@pytest.mark.parametrize("n", [1, 2, 12, 21])
+def test_few_rows_come_back_whole_at_default_settings(spark, n):
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32).astype(float)
+    want = brute(list(range(n)), x, range(0, n, 20))
+    got = found(spark, [(i, v.tolist(), 0.0, 0) for i, v in enumerate(x)])
+    assert {q: [i for i, _ in near] for q, near in got.items()} == {q: [i for i, _ in near] for q, near in want.items() if near}
+
+
+def test_far_queries_go_on_to_all_axes(spark):
+    """All vectors stand on the other side of the query: none in the axes that it probes."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(scale=0.01, size=(400, 16)) + np.eye(16)[0]
+    rows = [(i + 1, v.tolist(), 0.0, 0) for i, v in enumerate(x) if (i + 1) % 20] + [(0, (-np.eye(16)[0]).tolist(), 0.0, 0)]
+    got = found(spark, rows, probes=0.05)
+    real = np.array([r[1] for r in rows], np.float32).astype(float)
+    assert [i for i, _ in got[0]] == [i for i, _ in brute([r[0] for r in rows], real, [0])[0]]
+
+
+def test_repeated_rows_are_candidates_of_their_own(spark):
+    a, b, c = [1.0, 0.0], [0.0, 1.0], [0.5, 0.5]
+    rows = [(0, a, 0.0, 0), (1, b, 0.0, 0), (1, b, 0.0, 0), (1, c, 0.0, 0), (2, c, 0.0, 0)]
+    assert found(spark, rows) == {0: [(1, 0.5), (2, 0.5), (1, 0.0), (1, 0.0)]}
+    twice = found(spark, [(0, a, 0.0, 0), (0, a, 0.0, 0), (3, b, 0.0, 0)])
+    assert twice == {0: [(0, 1.0), (3, 0.0)]}
