@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,7 +59,22 @@ def forget(df: DataFrame) -> None:
             _remove(spark, path)
 
 
-def text_batches(spark: SparkSession, rows: int = 1500) -> None:
+TEXTS = 1500
+
+
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """At most so many rows in an Arrow batch of the jobs that run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
+
+
+def text_batches(spark: SparkSession, rows: int = TEXTS) -> None:
     """Smaller Arrow batches for the session: ten thousand texts at once are tens of megabytes in each process that holds them."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -1,349 +1,373 @@
 """Language-model scoring by a probabilistic suffix tree.
 
-Tokens are lower-cased words and one end. Contexts are the last bytes of the text so far,
-words separated by one space, of variable length up to ``DEPTH`` and across words; the
-symbols that a context predicts are word starts of three bytes:
-
-* all (context, start) counts of the training texts are summed in Spark;
-* a context is kept if it has at least ``LEAST`` of all training tokens (so there are at
-  most 1/LEAST of each length: the tree fits any worker) and its starts diverge from those
-  of its suffix by at least ``DIVERGENCE`` nats; suffixes of kept contexts are kept;
-* a context's counts are smoothed with its suffix's distribution, weighted by the
-  number of different starts seen after it (Witten-Bell), down to the relative frequencies.
-
-A token is scored by the longest kept suffix state: the probability of its start there,
-times its share of the training tokens with that start. One unknown token, as in the base
-score, takes the share that words seen once have in training (Good-Turing). All tokens'
-probabilities sum to one after any text, so the score is a proper log probability.
-
-Word counts are exact and unbounded: documents are dealt into blocks of about ``BLOCK``
-bytes, each block reports its distinct words, counts are summed by word and come back to
-the blocks that need them. Nothing of that size reaches the driver. Null and empty texts
-are one end token. With no training rows every token is unknown.
+Tokens are lower-cased words and one end. The states of the tree are the last 0 to ``DEPTH``
+words before a token, whole words of any length, within a text:
+
+* a context of one word or more is a state if it was seen ``LEAST`` times in training and what follows it
+  diverges from what follows its suffix: the sum over the following tokens of n * ln(p / p at the suffix), the
+  log-likelihood that the longer context gains, is ``GAIN`` nats at least. These are absolute
+  numbers, so the tree grows with the training texts, and rare contexts are held to the same test;
+* a state's counts are smoothed with its suffix's distribution, weighted by the number of
+  different tokens seen after it (Witten-Bell), down to the single words;
+* one unknown token, as in the base score, takes the share that words seen once have in
+  training (Good-Turing).
+
+A token is scored at the longest state that its text so far ends in. All tokens' probabilities
+sum to one after any text, so the score is a proper log probability.
+
+Nothing of the tree is collected or broadcast. Texts are packed into blocks of about ``BLOCK``
+bytes, a row each. Every block posts its distinct words and word sequences, sorted and packed, to ranges of
+their hashes; a range sums each over all blocks and returns to each block the counts of just its own
+(``exchanged``). A second exchange sums, over the sequences that a block was
+named the owner of, the gain and the number of followers of every context. A hot word is one entry
+a block, and ranges are of hashes, so none is hot. Blocks and ranges grow with the texts; raise
+BLOCK with the executors' memory, as postings are one for each of a block and a range.
+
+Words are told apart by 64-bit hashes, sequences by 48 bits of one. Null and empty texts are one
+end token. With no training rows every token is unknown. Rows are kept one by one, whatever
+ids or texts they repeat. A text of any size is one block with others or alone.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from geofold.llm import _bytes, _store
 
-DEPTH = 4
-START = 3
-LEAST = 1e-4
-DIVERGENCE = 0.01
-BLOCK = 16 << 20
+DEPTH = 2
+LEAST = 2
+GAIN = 3.0
+BLOCK = 4 << 20
 SLICE = 1 << 20
-WORD, GRAM = 0, 1
-END = 0x0A0A0A
+RANGES = 4  # blocks to a range
+CUT = np.uint64(16)  # low bits of the hash of a sequence that are dropped
+END = np.uint64(0x5851F42D4C957F2D)
 _U = np.uint64
-_MULT = (0xDA942042E4DD58B5, 0x9FB21C651E98DF25)
 
 
-def tokens(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray):
-    """Packed (context, start) of each word, and of each row's end token.
+def packed(values: np.ndarray) -> bytes:
+    """Ascending whole numbers as their steps, in as few bytes a step as the largest needs; first bytes first."""
+    step = np.diff(values, prepend=_U(0)).astype(np.uint64)
+    return squeezed(step)
 
-    A row's text so far begins with DEPTH line feeds and has one space after each word.
-    """
-    size = ends - starts + 1
-    count = np.diff(row)
-    n = len(count)
-    body = np.concatenate(([0], np.cumsum(size)))
-    begin = body[:-1] + (np.repeat(np.arange(n), count) + 1) * DEPTH
-    x = np.full(int(body[-1]) + n * DEPTH + START, 0x0A, np.uint8)
-    x[_bytes.ranges(begin, size - 1)] = low[_bytes.ranges(starts, size - 1)]
-    x[begin + size - 1] = 0x20
-    stop = body[row[1:]] + (np.arange(n) + 1) * DEPTH
-
-    def context(at):
-        out = np.zeros(len(at), _U)
-        for t in range(DEPTH, 0, -1):
-            out = out << _U(8) | x[at - t].astype(_U)
-        return out << _U(24)
-
-    first = np.zeros(len(begin), _U)
-    for t in range(START):
-        b = x[begin + np.minimum(t, size - 1)]  # a shorter word is filled up with spaces
-        first = first << _U(8) | b.astype(_U)
-    return context(begin) | first, context(stop) | _U(END)
-
-
-def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """One part with the counts of equal keys summed."""
-    if len(parts) < 2:
-        return parts
-    keys, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return [(keys[first], np.add.reduceat(n, first))] if len(keys) else [(keys, n)]
-
-
-def _hashes(low, starts, ends):
-    return _bytes.range_hash(_bytes.prefix_sums(low), starts, ends)
-
-
-def count_block(text: pa.ChunkedArray, train: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(kind, keys, counts): training counts of all distinct words, and of the training grams."""
-    words, grams = [], []
-    for lo, hi, data, off in _bytes.pieces(text, SLICE):
-        low = _bytes.LOWER[data]
-        starts, ends, row = _bytes.words(low, off, _bytes.SPACE)
-        use = np.repeat(train[lo:hi], np.diff(row))
-        keys, back = np.unique(_hashes(low, starts, ends), return_inverse=True)
-        words.append((keys, np.bincount(back, weights=use, minlength=len(keys)).astype(np.int64)))
-        word_keys, end_keys = tokens(low, starts, ends, row)
-        grams.append(np.unique(np.concatenate((word_keys[use], end_keys[train[lo:hi]])), return_counts=True))
-        if sum(len(k) for k, _ in grams) > 3_000_000:
-            grams = merged(grams)
-        if sum(len(k) for k, _ in words) > 3_000_000:
-            words = merged(words)
-    return [(kind, *m) for kind, parts in ((WORD, words), (GRAM, grams)) for m in merged(parts)]
-
-
-def _mask(k: int):
-    """Keeps a start and the last k bytes of its context."""
-    return _U((1 << (8 * k + 24)) - 1)
-
-
-def _name(ctx: np.ndarray, k: int) -> np.ndarray:
-    return ctx << _U(3) | _U(k)
-
-
-class _Level:
-    """Counts of one context length: keys in order, and their contexts with sums and numbers of starts."""
-
-    def __init__(self, key: np.ndarray, n: np.ndarray):
-        self.key, self.n = key, n
-        ctx = key >> _U(24)
-        self.first = np.flatnonzero(np.concatenate(([True], ctx[1:] != ctx[:-1]))) if len(key) else np.zeros(0, np.int64)
-        self.kinds = np.diff(np.append(self.first, len(key)))
-        self.ctx = ctx[self.first]
-        self.sums = np.add.reduceat(n, self.first) if len(key) else np.zeros(0, np.int64)
-        self.of = np.repeat(np.arange(len(self.first), dtype=np.int32), self.kinds)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.key, keys)
-
-
-class Tree:
-    """The kept contexts as one open hash table of log probabilities and back-off weights.
-
-    Made from packed (context, start), count and context length; all contexts of LEAST or more.
+
+def squeezed(values: np.ndarray) -> bytes:
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    return bytes([width]) + planes.T.tobytes()
+
+
+def spread(raw: bytes) -> np.ndarray:
+    """What ``squeezed`` has packed."""
+    width = raw[0]
+    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").reshape(-1)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(spread(raw), dtype=np.uint64)
+
+
+def range_of(keys: np.ndarray, ranges: int, bits: int) -> np.ndarray:
+    """Which of the ranges of equal width each key of ``bits`` bits is in; ascending with the key."""
+    return ((keys >> _U(bits - 32)) * _U(ranges)) >> _U(32)
+
+
+class Sequences:
+    """The distinct words and word sequences of a block of texts, and which of them each token ends.
+
+    ``keys[0]``: words, by hash; ``keys[1]``: sequences of 2 to DEPTH + 1 tokens. ``at[k]``: the
+    place in those of the sequence of k + 1 tokens that ends in a token, -1 where the text is too short.
     """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, size: np.ndarray):
-        levels = []
-        for k in range(DEPTH + 1):
-            pick = np.flatnonzero(size == k)
-            pick = pick[np.argsort(grams[pick])]
-            levels.append(_Level(grams[pick], counts[pick]))
-        root = levels[0]
-        self.total = int(root.n.sum())
-        self.starts, self.start_counts = root.key.astype(np.int64), root.n
-        kept = self._kept(levels)
-        keys, vals = [root.key], [np.log(root.n / max(1, self.total))]
-        prob = root.n / max(1, self.total)
-        for k in range(1, DEPTH + 1):
-            v = levels[k]
-            share = v.kinds / (v.sums + v.kinds)
-            up = levels[k - 1].find(v.key & _mask(k - 1))
-            prob = v.n / (v.sums + v.kinds)[v.of] + share[v.of] * prob[up] if len(v.key) else np.zeros(0)
-            use = kept[k][v.of]
-            keys += [(_name(v.key[use] >> _U(24), k) << _U(25)) | (v.key[use] & _U(0xFFFFFF)), (_name(v.ctx[kept[k]], k) << _U(25)) | _U(1 << 24)]
-            vals += [np.log(prob[use]), np.log(share[kept[k]])]
-        self._index(np.concatenate(keys), np.concatenate(vals).astype(np.float32))
-
-    @staticmethod
-    def _kept(levels) -> list[np.ndarray]:
-        """For each length, the contexts that diverge from their suffix, and the suffixes of those."""
-        kept = [np.ones(len(levels[0].ctx), bool)]
-        for k in range(1, DEPTH + 1):
-            v, above = levels[k], levels[k - 1]
-            if not len(v.key):
-                kept.append(np.zeros(0, bool))
-                continue
-            up = above.find(v.key & _mask(k - 1))
-            p = v.n / v.sums[v.of]
-            q = above.n[up] / above.sums[above.of[up]]
-            kept.append(np.add.reduceat(p * np.log(p / q), v.first) >= DIVERGENCE)
-        for k in range(DEPTH, 1, -1):
-            v = levels[k]
-            at = np.searchsorted(levels[k - 1].ctx, v.ctx[kept[k]] & _U((1 << (8 * (k - 1))) - 1))
-            kept[k - 1][at] = True
-        return kept
-
-    def _index(self, keys: np.ndarray, vals: np.ndarray) -> None:
-        """Two tables of one probe each, and a sorted rest."""
-        self.slots, self.shifts = [], []
-        for salt in (0, 1):
-            bits = max(10, int(len(keys)).bit_length() + 1 - salt)
-            self.shifts.append(_U(64 - bits))
-            k, v = np.zeros(1 << bits, _U), np.zeros(1 << bits, np.float32)
-            at = self._hash(keys, salt)
-            k[at], v[at] = keys, vals
-            won = k[at] == keys
-            self.slots.append((k, v))
-            keys, vals = keys[~won], vals[~won]
-        order = np.argsort(keys)
-        self.rest = keys[order], vals[order]
-
-    def _hash(self, keys, salt):
-        return (((keys ^ (keys >> _U(29))) * _U(_MULT[salt])) >> self.shifts[salt]).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether held, value) of slot keys."""
-        at = self._hash(keys, 0)
-        ok = self.slots[0][0][at] == keys
-        val = np.where(ok, self.slots[0][1][at], np.float32(0))
-        miss = np.flatnonzero(~ok)
-        if len(miss):
-            at = self._hash(keys[miss], 1)
-            hit = self.slots[1][0][at] == keys[miss]
-            ok[miss[hit]] = True
-            val[miss[hit]] = self.slots[1][1][at[hit]]
-            if len(self.rest[0]):
-                miss = miss[~hit]
-                at = np.searchsorted(self.rest[0], keys[miss])
-                at[at == len(self.rest[0])] = 0
-                hit = self.rest[0][at] == keys[miss]
-                ok[miss[hit]] = True
-                val[miss[hit]] = self.rest[1][at[hit]]
-        return ok, val
-
-    def logs(self, key: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each start in its context, packed as by ``tokens``; minus infinity for starts never seen."""
-        out = np.zeros(len(key))
-        todo = np.arange(len(key))
-        start = key & _U(0xFFFFFF)
-        for k in range(DEPTH, -1, -1):
-            ctx = (key[todo] >> _U(24)) & _U((1 << (8 * k)) - 1)
-            name = (ctx << _U(3) | _U(k)) << _U(25)
-            ok, val = self.find(name | start[todo])
-            out[todo[ok]] += val[ok]
-            todo, name = todo[~ok], name[~ok]
-            if not len(todo):
-                return out
-            held, weight = self.find(name | _U(1 << 24)) if k else (np.zeros(len(todo), bool), 0)
-            out[todo] += np.where(held, weight, 0)
-        out[todo] = -math.inf
+    def __init__(self, texts: list[str | None], depth: int):
+        hashes, counts = [], []
+        for _, _, data, off in _bytes.pieces(pa.array(texts, pa.large_string()), SLICE):
+            low = _bytes.LOWER[data]
+            starts, ends, row = _bytes.words(low, off, _bytes.SPACE)
+            hashes.append(_bytes.range_hash(_bytes.prefix_sums(low), starts, ends))
+            counts.append(np.diff(row))
+        count = np.concatenate([*counts, np.zeros(0, np.int64)])
+        self.size = count + 1  # tokens of each text
+        self.off = np.concatenate(([0], np.cumsum(self.size)))
+        h = np.full(int(self.off[-1]), END)
+        self.word = np.ones(len(h), bool)
+        self.word[self.off[1:] - 1] = False
+        h[self.word] = np.concatenate([*hashes, np.zeros(0, np.uint64)])
+        self.row = np.repeat(np.arange(len(count)), self.size)
+        place = np.arange(len(h)) - self.off[self.row]
+        words, first, back = np.unique(h, return_index=True, return_inverse=True)
+        self.keys, self.first, self.at = [words], [first], [back]
+        acc, longer, valid = h, [], []
+        for k in range(1, depth + 1):
+            before = np.concatenate((np.zeros(min(k, len(h)), np.uint64), h[: max(0, len(h) - k)]))
+            acc = _bytes.mix(acc * _U(0x9E3779B97F4A7C15) + before + _U(k))
+            valid.append(np.flatnonzero(place >= k))
+            longer.append(acc[valid[-1]] >> CUT)
+        keys, first, back = np.unique(np.concatenate([*longer, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
+        order = np.concatenate([*[np.full(len(v), k) for k, v in enumerate(valid, 1)], np.zeros(0, np.int64)])
+        self.keys.append(keys)
+        self.first.append(np.concatenate([*valid, np.zeros(0, np.int64)])[first])
+        self.order = order[first]  # tokens before the last one
+        lo = 0
+        for v in valid:
+            at = np.full(len(h), -1)
+            at[v] = back[lo : lo + len(v)]
+            lo += len(v)
+            self.at.append(at)
+
+    def sums(self, weight: np.ndarray) -> list[np.ndarray]:
+        """Of words and of sequences: the sum of the weights of the tokens that end them."""
+        out = [np.bincount(self.at[0], weights=weight, minlength=len(self.keys[0]))]
+        more = np.zeros(len(self.keys[1]))
+        for at in self.at[1:]:
+            ok = at >= 0
+            more += np.bincount(at[ok], weights=weight[ok], minlength=len(more))
+        return [*out, more]
+
+    def of_tokens(self, values: list[np.ndarray], k: int) -> np.ndarray:
+        """The value of the sequence of k + 1 tokens that ends in each token; 0 where there is none."""
+        at = self.at[k]
+        held = values[min(k, 1)]
+        return np.where(at >= 0, held[np.maximum(at, 0)], 0) if len(held) else np.zeros(len(at), held.dtype)
+
+    def shifted(self, values: np.ndarray) -> np.ndarray:
+        """The value at the token before; 0 at a text's first."""
+        out = np.concatenate((np.zeros(1, values.dtype), values[:-1])) if len(values) else values
+        out[self.off[:-1]] = 0
         return out
 
-    def share(self, start: np.ndarray) -> np.ndarray:
-        """Training tokens with each start (1 where there is none)."""
-        if not len(self.starts):
-            return np.ones(len(start))
-        at = np.minimum(np.searchsorted(self.starts, start), len(self.starts) - 1)
-        return np.where(self.starts[at] == start, self.start_counts[at], 1)
-
-
-@dataclass
-class Totals:
-    """Training tokens, end tokens among them, distinct tokens, and words seen once."""
-
-    tokens: int
-    ends: int
-    distinct: int
-    once: int
-
-    @property
-    def unknown(self) -> float:
-        """Probability of the unknown token."""
-        return (min(self.once, self.tokens) + 0.5) / (self.tokens + 1)
-
-
-def score_block(tree: Tree, text, keys: np.ndarray, counts: np.ndarray, of: Totals):
-    """(n_tokens, n_known, base, score) of each text; keys are the sorted hashes of all its words."""
-    outs = []
-    unit = of.tokens + 0.5 * (of.distinct + 1)
-    new, old = math.log(of.unknown), math.log1p(-of.unknown)
-    for _, _, data, off in _bytes.pieces(text, SLICE):
-        low = _bytes.LOWER[data]
-        starts, ends, row = _bytes.words(low, off, _bytes.SPACE)
-        h = _hashes(low, starts, ends)
-        at = np.searchsorted(keys, h)
-        if len(h) and (at.max(initial=0) >= len(keys) or not np.array_equal(keys[at], h)):
-            raise ValueError("a word of the block is missing from its dictionary")
-        c = counts[at] if len(h) else np.zeros(0, np.int64)
-        word_keys, end_keys = tokens(low, starts, ends, row)
-        known = c > 0
-        own = np.full(len(c), new)
-        got = word_keys[known]
-        own[known] = old + tree.logs(got) + np.log(c[known] / tree.share((got & _U(0xFFFFFF)).astype(np.int64)))
-        last = old + tree.logs(end_keys) if of.ends else np.full(len(row) - 1, new)
-
-        def by_row(v, row=row):
-            # differences of one running sum would lose digits: sum each row by itself
-            out = np.zeros(len(row) - 1)
-            full = np.flatnonzero(np.diff(row))
-            if len(full):
-                out[full] = np.add.reduceat(v, row[full])
-            return out
-
-        base = by_row(np.log10((c + 0.5) / unit)) + math.log10((of.ends + 0.5) / unit)
-        outs.append((np.diff(row) + 1, by_row(known.astype(float)) + (of.ends > 0), base, (by_row(own) + last) / math.log(10)))
-    return [np.concatenate(x) for x in zip(*outs)] if outs else [np.zeros(0)] * 4
-
-
-def learn(grams: DataFrame, least: float = LEAST) -> Tree:
-    """The tree of summed (key, n); what is collected is bounded by 1/least contexts of each length."""
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for k in range(DEPTH + 1):
-        key = F.col("key").bitwiseAND(F.lit((1 << (8 * k + 24)) - 1)).alias("key")
-        level = grams.groupBy(key).agg(F.sum("n").alias("n"))
-        whole = F.sum("n").over(Window.partitionBy(F.shiftright("key", 24)))
-        levels.append(level.withColumn("whole", whole).where(F.col("whole") >= total * least).select(F.lit(k).alias("size"), "key", "n"))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionAll(level)
-    t = out.toArrow()
-    return Tree(t["key"].to_numpy().view(_U), t["n"].to_numpy(), t["size"].to_numpy())
-
-
-def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, least: float = LEAST) -> DataFrame:
-    """(id, train, n_tokens, n_known, train_tokens, base_score, score) per row; ``train`` is a column over docs."""
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), train.cast("boolean").alias("train"), text.alias("text"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)).cast("int"))
-
-    def counted(key, table):
-        parts = count_block(table["text"], table["train"].to_numpy())
-        block = key[0].as_py()
+
+POST = "range int, block long, kind tinyint, keys binary, a binary, b binary"
+
+
+def posted(block: int, ranges: int, kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    """Ascending keys with two whole numbers each, cut at the ranges; kind 0 are words, 1 sequences."""
+    at = range_of(keys, ranges, 64 if kind == 0 else 64 - int(CUT))
+    cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
+    ends = np.append(cut[1:], len(at))
+    rows = [(int(at[x]), packed(keys[x:y]), squeezed(a[x:y]), squeezed(b[x:y])) for x, y in zip(cut, ends)]
+    n = len(rows)
+    cols = list(zip(*rows)) or [[]] * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(cols[0], pa.int32()), pa.array([block] * n, pa.int64()), pa.array([kind] * n, pa.int8()), *[pa.array(c, pa.binary()) for c in cols[1:]]],
+        ["range", "block", "kind", "keys", "a", "b"],
+    )
+
+
+def exchanged(posts: DataFrame) -> DataFrame:
+    """(range, block, kind, a, b, n, distinct, once): sums over all blocks of both numbers of each key, for each block's keys.
+
+    ``b`` of a key's first block with a number is its sum shifted left by one with the last bit set: that block owns
+    the key. The last three columns are of a range's words, in its first row: sum, number and number of
+    ones of ``a``.
+    """
+
+    def merge(key, table):
+        keys = [unpacked(x) for x in table["keys"].to_pylist()]
+        size = [len(x) for x in keys]
+        every = np.concatenate(keys)
+        a, b = (np.concatenate([spread(x) for x in table[c].to_pylist()]) for c in "ab")
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        head = np.flatnonzero(new)
+        of = np.cumsum(new) - 1
+        sums = [np.add.reduceat(x[order], head) for x in (a, b)]
+        out = [np.empty(len(every), np.uint64) for _ in "ab"]
+        for o, s in zip(out, sums):
+            o[order] = s[of]
+        owner = np.zeros(len(every), np.uint64)
+        some = np.flatnonzero(a[order] > 0)
+        first = some[np.concatenate(([True], of[some][1:] != of[some][:-1]))] if len(some) else some
+        owner[order[first]] = 1
+        out[1] = out[1] << _U(1) | owner
+        ends = np.cumsum(size)
+        n = len(size)
+        totals = sums[0] if key[1].as_py() == 0 else sums[0][:0]
+        stat = lambda x: pa.array([int(x), *[0] * (n - 1)], pa.int64())
         return pa.table(
             {
-                "block": pa.array(np.full(sum(len(k) for _, k, _ in parts), block, np.int32)),
-                "kind": pa.array(np.concatenate([np.full(len(k), kind, np.int8) for kind, k, _ in parts])),
-                "key": pa.array(np.concatenate([k for _, k, _ in parts]).view(np.int64)),
-                "n": pa.array(np.concatenate([n for _, _, n in parts]).astype(np.int64)),
+                "range": table["range"], "block": table["block"], "kind": table["kind"],
+                "a": pa.array([squeezed(out[0][e - s : e]) for s, e in zip(size, ends)], pa.binary()),
+                "b": pa.array([squeezed(out[1][e - s : e]) for s, e in zip(size, ends)], pa.binary()),
+                "n": stat(totals.sum()), "distinct": stat((totals > 0).sum()), "once": stat((totals == 1).sum()),
             }
-        )
-
-    found = _store.written(rows.select("block", "train", "text").groupBy("block").applyInArrow(counted, "block int, kind tinyint, key long, n long"), "lm-count")
-    grams = _store.written(found.where(F.col("kind") == GRAM).groupBy("key").agg(F.sum("n").alias("n")), "lm-gram")
-    tree = spark.sparkContext.broadcast(learn(grams, least))
-    same = Window.partitionBy("key")
-    words = found.where(F.col("kind") == WORD).select("block", "key", "n")
-    words = _store.written(words.select("block", "key", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "lm-word")
-    ends = rows.where("train").count()
-    sums = words.where("first AND c > 0").agg(F.sum("c"), F.count("*"), F.count_if(F.col("c") == 1)).first()
-    of = Totals(int((sums[0] or 0) + ends), ends, int(sums[1] + (ends > 0)), int(sums[2]))
-
-    def scored(key, table, known):
-        keys = known["key"].to_numpy().view(_U)
-        order = np.argsort(keys)
-        n, k, base, own = score_block(tree.value, table["text"], keys[order], known["c"].to_numpy()[order], of)
-        return pa.table({"id": table["id"], "train": table["train"], "n_tokens": pa.array(n.astype(np.int64)), "n_known": pa.array(k.astype(np.int64)), "base_score": pa.array(base), "score": pa.array(own)})
-
-    out = rows.groupBy("block").cogroup(words.select("block", "key", "c").groupBy("block")).applyInArrow(scored, "id long, train boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.withColumn("train_tokens", F.lit(of.tokens).cast("long"))
+        )
+
+    return posts.groupBy("range", "kind").applyInArrow(merge, "range int, block long, kind tinyint, a binary, b binary, n long, distinct long, once long")
+
+
+def returned(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(a, b) of words and of sequences, in the order of the block's keys."""
+    out = []
+    for kind in (0, 1):
+        mine = sorted((p for p in parts or [] if p["kind"] == kind), key=lambda p: p["range"])
+        out.append(tuple(np.concatenate([*[spread(p[c]) for p in mine], np.zeros(0, np.uint64)]) for c in "ab"))
+    return out
+
+
+SCALE = 1 << 20  # gains are summed as whole millionths of a nat, so their sums don't depend on any order
+
+
+def gains(s: Sequences, back: list, total: int, depth: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, followers, gain) of the words and sequences that are contexts seen ``least`` times, from the sequences that the block owns."""
+    counts = [x.astype(np.int64) for x, _ in back]
+    follow = [np.zeros(len(k), np.int64) for k in s.keys]
+    gain = [np.zeros(len(k)) for k in s.keys]
+    n = [s.of_tokens(counts, k) for k in range(depth + 1)]
+    for k in range(1, depth + 1):
+        mine = np.flatnonzero(((back[1][1] & _U(1)) > 0) & (s.order == k))
+        token = s.first[1][mine]
+        seen = n[k][token].astype(float)
+        here = n[k - 1][token - 1].astype(float)  # the context's own count
+        shorter = n[k - 1][token].astype(float)
+        there = n[k - 2][token - 1].astype(float) if k > 1 else float(total)
+        context = s.at[k - 1][token - 1]
+        kind = min(k - 1, 1)
+        follow[kind] += np.bincount(context, minlength=len(follow[kind]))
+        gain[kind] += np.bincount(context, weights=np.rint(seen * np.log(seen / here * there / shorter) * SCALE), minlength=len(gain[kind]))
+    out = []
+    for kind in (0, 1):
+        inner = s.word[s.first[kind]] & (counts[kind] >= least)  # an end has nothing after it
+        if kind == 1:
+            inner &= s.order < depth
+        places = np.flatnonzero(inner)
+        out.append((places, follow[kind][places], gain[kind][places]))
+    return out
+
+
+BIAS = 1 << 50  # gains of one block may be below zero
+
+
+def scores(s: Sequences, back: list, states: list, of: dict, depth: int) -> tuple:
+    """(n_tokens, n_known, base, score) of the block's texts. states: followers of words and sequences that are states, else 0."""
+    counts = [x.astype(np.int64) for x, _ in back]
+    c = s.of_tokens(counts, 0)
+    known = c > 0
+    unit = of["n"] + 0.5 * (of["distinct"] + 1)
+    unknown = (of["once"] + 0.5) / (of["n"] + 1)
+    p = np.where(known, (1 - unknown) * c / max(1, of["n"]), unknown)
+    for k in range(1, depth + 1):
+        seen, here = s.of_tokens(counts, k), s.shifted(s.of_tokens(counts, k - 1))
+        kinds = s.shifted(s.of_tokens(states, k - 1))
+        p = np.where(kinds > 0, (seen + kinds * p) / np.maximum(here + kinds, 1), p)
+    by_row = lambda x: np.add.reduceat(x, s.off[:-1]) if len(s.size) else x  # noqa: E731  each text summed by itself
+    return s.size, by_row(known.astype(np.int64)), by_row(np.log10((c + 0.5) / unit)), by_row(np.log10(p))
+
+
+def blocks_of(docs: DataFrame, train, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
+    """(block, id, train, text) with lists: texts packed into rows of about ``block_bytes``."""
+
+    def pack(batches):
+        task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def row():
+            ids, trains, texts = (pa.chunked_array([b.column(i) for b in held]).combine_chunks() for i in range(3))
+            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), one(ids), one(trains), one(texts)], ["block", "id", "train", "text"])
+
+        for b in batches:
+            for lo, hi, data, _ in _bytes.pieces(b.column("text"), block_bytes // 8):
+                if held and size + len(data) > block_bytes:
+                    yield row()
+                    n, held, size = n + 1, [], 0
+                held.append(b.slice(lo, hi - lo))
+                size += len(data)
+        if held:
+            yield row()
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train.cast("boolean"), F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(pack, "block long, id array<long>, train array<boolean>, text array<string>")
+
+
+def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> DataFrame:
+    """(id, train, n_tokens, n_known, train_tokens, base_score, score) per row; ``train`` is a column over docs."""
+    spark = docs.sparkSession
+    with _store.batch_rows(spark, _store.TEXTS):
+        blocks = _store.written(blocks_of(docs, train, id_col, text_col, block_bytes), "lm-block")
+    ranges = max(1, -(-blocks.count() // RANGES))
+
+    def first(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                s = Sequences(b.column("text")[i].as_py(), depth)
+                weight = np.repeat(np.array(b.column("train")[i].as_py(), float), s.size)
+                for kind, n in enumerate(s.sums(weight)):
+                    yield posted(b.column("block")[i].as_py(), ranges, kind, s.keys[kind], n.astype(np.uint64), np.zeros(len(n), np.uint64))
+
+    # a block is a row: one at a time in each process
+    with _store.batch_rows(spark, 1):
+        posts = _store.written(blocks.mapInArrow(first, POST), "lm-post")
+    back = _store.written(exchanged(posts), "lm-count")
+    _store.forget(posts)
+    totals = {k: v or 0 for k, v in back.agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"), F.sum("once").alias("once")).first().asDict().items()}
+
+    def lists(back: DataFrame, name: str) -> DataFrame:
+        return back.groupBy(F.col("block").alias(f"{name}_of")).agg(F.collect_list(F.struct("range", "kind", "a", "b")).alias(name))  # a block's own, RANGES blocks to one
+
+    counted = blocks.join(lists(back, "counts"), F.col("block") == F.col("counts_of"), "left").select("block", "id", "train", "text", "counts")
+
+    def second(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                s = Sequences(b.column("text")[i].as_py(), depth)
+                for kind, (places, follow, g) in enumerate(gains(s, returned(b.column("counts")[i].as_py()), totals["n"], depth, least)):
+                    yield posted(b.column("block")[i].as_py(), ranges, kind, s.keys[kind][places], follow.astype(np.uint64), (g + BIAS).astype(np.uint64))
+
+    with _store.batch_rows(spark, 1):
+        posts = _store.written(counted.mapInArrow(second, POST), "lm-post")
+    told = _store.written(_states(posts, gain), "lm-state")
+    _store.forget(posts)
+    ready = counted.join(lists(told, "states"), F.col("block") == F.col("states_of"), "left").select("id", "train", "text", "counts", "states")
+
+    def third(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                s = Sequences(b.column("text")[i].as_py(), depth)
+                back = returned(b.column("counts")[i].as_py())
+                states = []
+                for kind, (kinds, _) in enumerate(returned(b.column("states")[i].as_py())):
+                    inner = s.word[s.first[kind]] & (back[kind][0] >= least)
+                    if kind == 1:
+                        inner &= s.order < depth
+                    held = np.zeros(len(s.keys[kind]), np.int64)
+                    held[inner] = kinds
+                    states.append(held)
+                n, k, base, own = scores(s, back, states, totals, depth)
+                yield pa.RecordBatch.from_arrays([b.column("id")[i].values, b.column("train")[i].values, pa.array(n), pa.array(k), pa.array(base), pa.array(own)], ["id", "train", "n_tokens", "n_known", "base_score", "score"])
+
+    with _store.batch_rows(spark, 1):
+        out = _store.written(ready.mapInArrow(third, "id long, train boolean, n_tokens long, n_known long, base_score double, score double"), "lm-score")
+    return out.withColumn("train_tokens", F.lit(int(totals["n"])).cast("long"))
+
+
+def _states(posts: DataFrame, gain: float) -> DataFrame:
+    """(range, block, kind, a, b): ``a`` the followers of each of a block's contexts that are states, 0 for the others."""
+
+    def merge(key, table):
+        keys = [unpacked(x) for x in table["keys"].to_pylist()]
+        size = [len(x) for x in keys]
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        ordered = every[order]
+        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+        follow = np.concatenate([spread(x) for x in table["a"].to_pylist()])[order]
+        won = np.concatenate([spread(x) for x in table["b"].to_pylist()])[order].astype(np.int64) - BIAS
+        head, of = np.flatnonzero(new), np.cumsum(new) - 1
+        kinds = np.where(np.add.reduceat(won, head) >= gain * SCALE, np.add.reduceat(follow, head), _U(0))
+        out = np.empty(len(every), np.uint64)
+        out[order] = kinds[of]
+        ends = np.cumsum(size)
+        a = pa.array([squeezed(out[e - s : e]) for s, e in zip(size, ends)], pa.binary())
+        return pa.table({"range": table["range"], "block": table["block"], "kind": table["kind"], "a": a, "b": pa.array([b"\1"] * len(size), pa.binary())})
+
+    return posts.groupBy("range", "kind").applyInArrow(merge, "range int, block long, kind tinyint, a binary, b binary")

@@ -23,84 +23,67 @@ def corpus():
     return docs + [(1000, None), (1001, ""), (1002, " \n\t"), (1003, "never seen before"), (1004, "the of " * 3000), (None, "of the")]
 
 
-def brute(docs, least, divergence):
-    """Plain dictionaries: counts of every context, the kept tree, and each text's probability."""
+def brute(docs, depth=st.DEPTH, least=st.LEAST, gain=st.GAIN):
+    """Plain dictionaries: counts of every sequence, the states, and each text's probability."""
     train = [toks(t) for i, t in docs if i is None or i % 5 != 1]
-    c = collections.Counter(w for ws in train for w in ws)
-    ends = len(train)
-    n = sum(c.values()) + ends
-    v = len(c) + (ends > 0)
-
-    def events(ws):
-        past = b"\n" * st.DEPTH
-        for w in [*ws, None]:
-            raw = (w.encode() + b"  ")[:3] if w else b"\n\n\n"
-            yield w, past[-st.DEPTH :], raw
-            past += (w or "").encode() + b" "
-
-    tables = collections.defaultdict(collections.Counter)
+    follow = collections.defaultdict(collections.Counter)
     for ws in train:
-        for _, ctx, raw in events(ws):
-            for k in range(st.DEPTH + 1):
-                tables[ctx[st.DEPTH - k :]][raw] += 1
-    sums = {s: sum(t.values()) for s, t in tables.items()}
-    ok = {s for s in tables if sums[s] >= least * n}
-    kept = {b""}
-    for s in ok - {b""}:
-        up = s[1:]
-        if sum(m / sums[s] * math.log(m / sums[s] * sums[up] / tables[up][r]) for r, m in tables[s].items()) >= divergence:
-            kept |= {s[i:] for i in range(len(s))}
-
-    def prob(s, r):
-        t, total = tables[s], sums[s]
-        if s == b"":
-            return t[r] / total
-        return (t[r] + len(t) * prob(s[1:], r)) / (total + len(t))
-
-    starts = collections.Counter()
-    for w, m in c.items():
-        starts[(w.encode() + b"  ")[:3]] += m
-    starts[b"\n\n\n"] += ends
-    unknown = (sum(1 for m in c.values() if m == 1) + 0.5) / (n + 1)
-    out = {}
+        ws = [*ws, None]
+        for i, w in enumerate(ws):
+            for k in range(min(i, depth) + 1):
+                follow[tuple(ws[i - k : i])][w] += 1
+    c = follow[()]
+    n, v = sum(c.values()), len(c)
+    sums = {s: sum(t.values()) for s, t in follow.items()}
+    states = {s for s, t in follow.items() if s and sums[s] >= least and sum(m * math.log(m / sums[s] * sums[s[1:]] / follow[s[1:]][w]) for w, m in t.items()) >= gain}
+    unknown = (sum(m == 1 for m in c.values()) + 0.5) / (n + 1)
+
+    def prob(s, w):
+        if not s:
+            return (1 - unknown) * c[w] / n if c[w] else unknown
+        if s not in states:
+            return prob(s[1:], w)
+        t = follow[s]
+        return (t[w] + len(t) * prob(s[1:], w)) / (sums[s] + len(t))
+
+    out = []
     for i, t in docs:
-        ws = toks(t)
-        base = sum(math.log10(((ends if w is None else c[w]) + 0.5) / (n + 0.5 * (v + 1))) for w in [*ws, None])
-        own = 0.0
-        for w, ctx, raw in events(ws):
-            m = ends if w is None else c[w]
-            s = next(ctx[j:] for j in range(st.DEPTH + 1) if ctx[j:] in kept)
-            own += math.log10((1 - unknown) * prob(s, raw) * m / starts[raw] if m else unknown)
-        out[i] = (len(ws) + 1, sum(c[w] > 0 for w in ws) + (ends > 0), n, base, own)
-    return out
-
-
-@pytest.mark.parametrize("block", [1 << 20, 3000])
-def test_matches_brute_force(spark, block):
-    docs = corpus()
+        ws = [*toks(t), None]
+        base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
+        own = sum(math.log10(prob(tuple(ws[max(0, j - depth) : j]), w)) for j, w in enumerate(ws))
+        out.append((str(i), len(ws), sum(c[w] > 0 for w in ws), n, base, own))
+    return sorted(out), states, prob, c
+
+
+@pytest.mark.parametrize(("block", "depth"), [(1 << 20, 2), (3000, 3), (3000, 1)])
+def test_matches_brute_force(spark, block, depth):
+    docs = [*corpus(), (1004, "the of " * 3000), (7, "of the"), (7, "a stone"), (None, "of the")]
     df = spark.createDataFrame([(i, t, 0) for i, t in docs], "doc_id long, text string, train int").repartition(3)
     held = F.coalesce(F.col("doc_id") % 5 == 1, F.lit(False))
-    got = {r["id"]: (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in st.score(df, ~held, block_bytes=block, least=0.002).collect()}
-    want = brute(docs, 0.002, st.DIVERGENCE)
-    assert got.keys() == want.keys()
-    for i, w in want.items():
-        assert got[i][:3] == w[:3]
-        assert got[i][3:] == pytest.approx(w[3:], rel=1e-5, abs=1e-6), i
+    rows = st.score(df, ~held, block_bytes=block, depth=depth).collect()
+    got = sorted((str(r["id"]), r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in rows)
+    want, states, _, _ = brute(docs, depth)
+    assert {len(s) for s in states} == set(range(1, depth + 1))
+    assert [g[:4] for g in got] == [w[:4] for w in want]
+    for g, w in zip(got, want):
+        assert g[4:] == pytest.approx(w[4:], rel=1e-6, abs=1e-6), g
 
 
 def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    ctx = rng.integers(97, 100, (4000, 4), dtype=np.uint64)
-    start = rng.integers(1, 40, 4000).astype(np.uint64)
-    key = (ctx[:, 0] << np.uint64(48)) | (ctx[:, 1] << np.uint64(40)) | (ctx[:, 2] << np.uint64(32)) | (ctx[:, 3] << np.uint64(24)) | start
-    rows = []
-    for k in range(st.DEPTH + 1):
-        k_keys, n = np.unique(key & np.uint64((1 << (8 * k + 24)) - 1), return_counts=True)
-        rows.append((k_keys, n, np.full(len(n), k)))
-    tree = st.Tree(*[np.concatenate(x) for x in zip(*rows)])
-    for c in key[:20] >> np.uint64(24):
-        p = np.exp(tree.logs((np.full(39, c, np.uint64) << np.uint64(24)) | np.arange(1, 40, dtype=np.uint64)))
-        assert p.sum() == pytest.approx(1, abs=1e-5)
+    _, states, prob, c = brute(corpus())
+    for s in [(), *sorted(states, key=str)[:20]]:
+        unknown = prob(s, "a word that was never seen")
+        assert sum(prob(s, w) for w in c) + unknown == pytest.approx(1)
+
+
+def test_packing_and_ranges():
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
+    assert (st.unpacked(st.packed(keys)) == keys).all() and len(st.unpacked(st.packed(keys[:0]))) == 0
+    few = rng.integers(0, 300, 50).astype(np.uint64)
+    assert (st.spread(st.squeezed(few)) == few).all() and len(st.squeezed(few)) == 1 + 2 * 50
+    at = st.range_of(keys, 7, 64)
+    assert (np.diff(at.astype(int)) >= 0).all() and set(at.tolist()) == set(range(7))
 
 
 def test_empty_tables_and_no_training_rows(spark):
@@ -119,4 +102,12 @@ def test_context_beats_single_words_on_held_out_text(spark):
 
     df = spark.createDataFrame([(i, text()) for i in range(200)], "doc_id long, text string")
     out = st.score(df, F.col("doc_id") % 5 != 1).where("NOT train").agg(F.sum("base_score"), F.sum("score")).first()
-    assert out[1] > 0.8 * out[0]
+    assert out[1] > 0.8 * out[0]  # both are below zero
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("aeiou") for _ in range(100)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate([*texts, *texts[:10]])), "doc_id long, text string")
+    score = {r["id"]: r["score"] for r in st.score(df, F.lit(True)).collect()}
+    assert min(score[i] for i in range(10)) > max(score[i] for i in range(10, 300))
