@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -51,6 +53,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of what is written and let go of: it goes by the driver's garbage."""
+    for _ in range(2):  # the JVM's side of Python objects goes first, then what only those held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by ``written`` once nothing reads it any more."""
     spark = df.sparkSession

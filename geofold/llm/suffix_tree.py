@@ -23,7 +23,7 @@ named the owner of, the gain and the number of followers of every context. A hot
 a block, and ranges are of hashes, so none is hot. Blocks and ranges grow with the texts; raise
 BLOCK with the executors' memory, as postings are one for each of a block and a range.
 
-Words are told apart by 64-bit hashes, sequences by 48 bits of one. Null and empty texts are one
+Words are told apart by 64-bit hashes, sequences by as many bits as leave one in 16,000 that meets another at most. Null and empty texts are one
 end token. With no training rows every token is unknown. Rows are kept one by one, whatever
 ids or texts they repeat. A text of any size is one block with others or alone.
 """
@@ -45,29 +45,28 @@ LEAST = 2
 GAIN = 3.0
 BLOCK = 4 << 20
 SLICE = 1 << 20
-RANGES = 4  # blocks to a range
-CUT = np.uint64(16)  # low bits of the hash of a sequence that are dropped
+RANGES = 2  # blocks to a range
+SPARE = 14  # bits of a sequence's hash beyond the logarithm of the corpus's bytes: one in 2**SPARE at most meets another
 END = np.uint64(0x5851F42D4C957F2D)
 _U = np.uint64
 
 
 def packed(values: np.ndarray) -> bytes:
     """Ascending whole numbers as their steps, in as few bytes a step as the largest needs; first bytes first."""
-    step = np.diff(values, prepend=_U(0)).astype(np.uint64)
-    return squeezed(step)
+    return squeezed(np.diff(values, prepend=_U(0)).astype(np.uint64))
 
 
 def squeezed(values: np.ndarray) -> bytes:
     width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
     planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + planes.T.tobytes()
+    return len(values).to_bytes(4, "little") + bytes([width]) + pa.Codec("zstd", 1).compress(planes.T.tobytes(), asbytes=True)
 
 
 def spread(raw: bytes) -> np.ndarray:
     """What ``squeezed`` has packed."""
-    width = raw[0]
-    planes = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), np.uint8)
+    n, width = int.from_bytes(raw[:4], "little"), raw[4]
+    planes = np.frombuffer(pa.Codec("zstd", 1).decompress(raw[5:], n * width), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").reshape(-1)
 
@@ -88,9 +87,9 @@ class Sequences:
     place in those of the sequence of k + 1 tokens that ends in a token, -1 where the text is too short.
     """
 
-    def __init__(self, texts: list[str | None], depth: int):
+    def __init__(self, texts: pa.Array, depth: int, bits: int = 64):
         hashes, counts = [], []
-        for _, _, data, off in _bytes.pieces(pa.array(texts, pa.large_string()), SLICE):
+        for _, _, data, off in _bytes.pieces(texts, SLICE):
             low = _bytes.LOWER[data]
             starts, ends, row = _bytes.words(low, off, _bytes.SPACE)
             hashes.append(_bytes.range_hash(_bytes.prefix_sums(low), starts, ends))
@@ -111,7 +110,7 @@ class Sequences:
             before = np.concatenate((np.zeros(min(k, len(h)), np.uint64), h[: max(0, len(h) - k)]))
             acc = _bytes.mix(acc * _U(0x9E3779B97F4A7C15) + before + _U(k))
             valid.append(np.flatnonzero(place >= k))
-            longer.append(acc[valid[-1]] >> CUT)
+            longer.append(acc[valid[-1]] >> _U(64 - bits))
         keys, first, back = np.unique(np.concatenate([*longer, np.zeros(0, np.uint64)]), return_index=True, return_inverse=True)
         order = np.concatenate([*[np.full(len(v), k) for k, v in enumerate(valid, 1)], np.zeros(0, np.int64)])
         self.keys.append(keys)
@@ -149,12 +148,12 @@ class Sequences:
 POST = "range int, block long, kind tinyint, keys binary, a binary, b binary"
 
 
-def posted(block: int, ranges: int, kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    """Ascending keys with two whole numbers each, cut at the ranges; kind 0 are words, 1 sequences."""
-    at = range_of(keys, ranges, 64 if kind == 0 else 64 - int(CUT))
+def posted(block: int, ranges: int, bits: int, kind: int, keys: np.ndarray, a: np.ndarray, b: np.ndarray | None = None) -> pa.RecordBatch:
+    """Ascending keys with one or two whole numbers each, cut at the ranges; kind 0 are words, 1 sequences."""
+    at = range_of(keys, ranges, 64 if kind == 0 else bits)
     cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(at)), bool), at[1:] != at[:-1])))
     ends = np.append(cut[1:], len(at))
-    rows = [(int(at[x]), packed(keys[x:y]), squeezed(a[x:y]), squeezed(b[x:y])) for x, y in zip(cut, ends)]
+    rows = [(int(at[x]), packed(keys[x:y]), squeezed(a[x:y]), None if b is None else squeezed(b[x:y])) for x, y in zip(cut, ends)]
     n = len(rows)
     cols = list(zip(*rows)) or [[]] * 4
     return pa.RecordBatch.from_arrays(
@@ -163,55 +162,74 @@ def posted(block: int, ranges: int, kind: int, keys: np.ndarray, a: np.ndarray,
     )
 
 
+def _met(table: pa.Table):
+    """(numbers of keys of each post, order of all keys, first of each distinct key in that order, distinct key of each place in it)."""
+    keys = [unpacked(x.as_py()) for x in table["keys"]]
+    every = np.concatenate(keys)
+    order = np.argsort(every, kind="stable")
+    every = every[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    return [len(x) for x in keys], order, np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+
+
+def _cut(values: np.ndarray, size: list[int]) -> pa.Array:
+    ends = np.cumsum(size)
+    return pa.array([squeezed(values[e - n : e]) for n, e in zip(size, ends)], pa.binary())
+
+
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return np.concatenate([spread(x.as_py()) for x in table[name]])
+
+
+BACK = "range int, block long, kind tinyint, a binary"
+
+
 def exchanged(posts: DataFrame) -> DataFrame:
-    """(range, block, kind, a, b, n, distinct, once): sums over all blocks of both numbers of each key, for each block's keys.
+    """(range, block, kind, a, n, distinct, once): for each of a block's keys its sum over all blocks, shifted left by one; the last bit is set for one block that has some.
 
-    ``b`` of a key's first block with a number is its sum shifted left by one with the last bit set: that block owns
-    the key. The last three columns are of a range's words, in its first row: sum, number and number of
-    ones of ``a``.
+    The last three columns are of a range's words, in its first row: sum, number and number of ones.
     """
 
     def merge(key, table):
-        keys = [unpacked(x) for x in table["keys"].to_pylist()]
-        size = [len(x) for x in keys]
-        every = np.concatenate(keys)
-        a, b = (np.concatenate([spread(x) for x in table[c].to_pylist()]) for c in "ab")
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        head = np.flatnonzero(new)
-        of = np.cumsum(new) - 1
-        sums = [np.add.reduceat(x[order], head) for x in (a, b)]
-        out = [np.empty(len(every), np.uint64) for _ in "ab"]
-        for o, s in zip(out, sums):
-            o[order] = s[of]
-        owner = np.zeros(len(every), np.uint64)
-        some = np.flatnonzero(a[order] > 0)
-        first = some[np.concatenate(([True], of[some][1:] != of[some][:-1]))] if len(some) else some
-        owner[order[first]] = 1
-        out[1] = out[1] << _U(1) | owner
-        ends = np.cumsum(size)
-        n = len(size)
-        totals = sums[0] if key[1].as_py() == 0 else sums[0][:0]
-        stat = lambda x: pa.array([int(x), *[0] * (n - 1)], pa.int64())
-        return pa.table(
-            {
-                "range": table["range"], "block": table["block"], "kind": table["kind"],
-                "a": pa.array([squeezed(out[0][e - s : e]) for s, e in zip(size, ends)], pa.binary()),
-                "b": pa.array([squeezed(out[1][e - s : e]) for s, e in zip(size, ends)], pa.binary()),
-                "n": stat(totals.sum()), "distinct": stat((totals > 0).sum()), "once": stat((totals == 1).sum()),
-            }
-        )
-
-    return posts.groupBy("range", "kind").applyInArrow(merge, "range int, block long, kind tinyint, a binary, b binary, n long, distinct long, once long")
-
-
-def returned(parts: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(a, b) of words and of sequences, in the order of the block's keys."""
-    out = []
-    for kind in (0, 1):
-        mine = sorted((p for p in parts or [] if p["kind"] == kind), key=lambda p: p["range"])
-        out.append(tuple(np.concatenate([*[spread(p[c]) for p in mine], np.zeros(0, np.uint64)]) for c in "ab"))
+        size, order, head, of = _met(table)
+        mine = _numbers(table, "a")[order]
+        sums = np.add.reduceat(mine, head)
+        some = np.flatnonzero(mine)
+        owner = np.zeros(len(mine), np.uint64)
+        owner[some[np.concatenate((np.ones(min(1, len(some)), bool), of[some][1:] != of[some][:-1]))]] = 1
+        out = np.empty(len(mine), np.uint64)
+        out[order] = sums[of] << _U(1) | owner
+        totals = sums if key[1].as_py() == 0 else sums[:0]
+        stat = lambda x: pa.array([int(x), *[0] * (len(size) - 1)], pa.int64())
+        return pa.table({"range": table["range"], "block": table["block"], "kind": table["kind"], "a": _cut(out, size), "n": stat(totals.sum()), "distinct": stat((totals > 0).sum()), "once": stat((totals == 1).sum())})
+
+    return posts.groupBy("range", "kind").applyInArrow(merge, BACK + ", n long, distinct long, once long")
+
+
+def states_of(posts: DataFrame, gain: float) -> DataFrame:
+    """(range, block, kind, a): the followers of each of a block's contexts that are states, 0 for the others."""
+
+    def merge(key, table):
+        size, order, head, of = _met(table)
+        follow = np.add.reduceat(_numbers(table, "a")[order], head)
+        won = _numbers(table, "b")[order]
+        won = np.add.reduceat((won >> _U(1)).astype(np.int64) ^ -(won & _U(1)).astype(np.int64), head)
+        out = np.empty(len(of), np.uint64)
+        out[order] = np.where(won >= gain * SCALE, follow, _U(0))[of]
+        return pa.table({"range": table["range"], "block": table["block"], "kind": table["kind"], "a": _cut(out, size)})
+
+    return posts.groupBy("range", "kind").applyInArrow(merge, BACK)
+
+
+def returned(parts: pa.ListScalar) -> list[np.ndarray]:
+    """The numbers of words and of sequences, in the order of the block's keys."""
+    out = [np.zeros(0, np.uint64)] * 2
+    if parts.values is not None:
+        at, kind = (parts.values.field(c).to_numpy() for c in ("range", "kind"))
+        raw = parts.values.field("a")
+        for k in (0, 1):
+            mine = np.flatnonzero(kind == k)
+            out[k] = np.concatenate([*[spread(raw[int(i)].as_py()) for i in mine[np.argsort(at[mine])]], out[k]])
     return out
 
 
@@ -220,12 +238,12 @@ SCALE = 1 << 20  # gains are summed as whole millionths of a nat, so their sums
 
 def gains(s: Sequences, back: list, total: int, depth: int, least: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(places, followers, gain) of the words and sequences that are contexts seen ``least`` times, from the sequences that the block owns."""
-    counts = [x.astype(np.int64) for x, _ in back]
+    counts = [(x >> _U(1)).astype(np.int64) for x in back]
     follow = [np.zeros(len(k), np.int64) for k in s.keys]
     gain = [np.zeros(len(k)) for k in s.keys]
     n = [s.of_tokens(counts, k) for k in range(depth + 1)]
     for k in range(1, depth + 1):
-        mine = np.flatnonzero(((back[1][1] & _U(1)) > 0) & (s.order == k))
+        mine = np.flatnonzero(((back[1] & _U(1)) > 0) & (s.order == k))
         token = s.first[1][mine]
         seen = n[k][token].astype(float)
         here = n[k - 1][token - 1].astype(float)  # the context's own count
@@ -245,12 +263,9 @@ def gains(s: Sequences, back: list, total: int, depth: int, least: int) -> list[
     return out
 
 
-BIAS = 1 << 50  # gains of one block may be below zero
-
-
 def scores(s: Sequences, back: list, states: list, of: dict, depth: int) -> tuple:
     """(n_tokens, n_known, base, score) of the block's texts. states: followers of words and sequences that are states, else 0."""
-    counts = [x.astype(np.int64) for x, _ in back]
+    counts = [(x >> _U(1)).astype(np.int64) for x in back]
     c = s.of_tokens(counts, 0)
     known = c > 0
     unit = of["n"] + 0.5 * (of["distinct"] + 1)
@@ -265,15 +280,16 @@ def scores(s: Sequences, back: list, states: list, of: dict, depth: int) -> tupl
 
 
 def blocks_of(docs: DataFrame, train, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
-    """(block, id, train, text) with lists: texts packed into rows of about ``block_bytes``."""
+    """(block, size, body): rows (id, train, text) packed into compressed Arrow streams of about ``block_bytes`` of text."""
 
     def pack(batches):
         task, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def row():
-            ids, trains, texts = (pa.chunked_array([b.column(i) for b in held]).combine_chunks() for i in range(3))
-            one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x)
-            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), one(ids), one(trains), one(texts)], ["block", "id", "train", "text"])
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                stream.write_table(pa.Table.from_batches(held).combine_chunks())
+            return pa.RecordBatch.from_arrays([pa.array([(task << 32) + n], pa.int64()), pa.array([size], pa.int64()), pa.array([out.getvalue().to_pybytes()], pa.binary())], ["block", "size", "body"])
 
         for b in batches:
             for lo, hi, data, _ in _bytes.pieces(b.column("text"), block_bytes // 8):
@@ -286,7 +302,11 @@ def blocks_of(docs: DataFrame, train, id_col: str, text_col: str, block_bytes: i
             yield row()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train.cast("boolean"), F.lit(False)).alias("train"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(pack, "block long, id array<long>, train array<boolean>, text array<string>")
+    return rows.mapInArrow(pack, "block long, size long, body binary")
+
+
+def _rows(body: pa.BinaryScalar) -> pa.Table:
+    return pa.ipc.open_stream(body.as_buffer()).read_all().combine_chunks()
 
 
 def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK, depth: int = DEPTH, least: int = LEAST, gain: float = GAIN) -> DataFrame:
@@ -294,80 +314,59 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     with _store.batch_rows(spark, _store.TEXTS):
         blocks = _store.written(blocks_of(docs, train, id_col, text_col, block_bytes), "lm-block")
-    ranges = max(1, -(-blocks.count() // RANGES))
+    size = blocks.agg(F.count("*"), F.sum("size")).first()
+    ranges, bits = max(1, -(-size[0] // RANGES)), min(64, max(32, int(size[1] or 0).bit_length() + SPARE))
 
     def first(batches):
         for b in batches:
             for i in range(b.num_rows):
-                s = Sequences(b.column("text")[i].as_py(), depth)
-                weight = np.repeat(np.array(b.column("train")[i].as_py(), float), s.size)
+                rows = _rows(b.column("body")[i])
+                s = Sequences(rows["text"], depth, bits)
+                weight = np.repeat(rows["train"].to_numpy().astype(float), s.size)
                 for kind, n in enumerate(s.sums(weight)):
-                    yield posted(b.column("block")[i].as_py(), ranges, kind, s.keys[kind], n.astype(np.uint64), np.zeros(len(n), np.uint64))
+                    yield posted(b.column("block")[i].as_py(), ranges, bits, kind, s.keys[kind], n.astype(np.uint64))
 
     # a block is a row: one at a time in each process
     with _store.batch_rows(spark, 1):
-        posts = _store.written(blocks.mapInArrow(first, POST), "lm-post")
-    back = _store.written(exchanged(posts), "lm-count")
-    _store.forget(posts)
+        back = _store.written(exchanged(blocks.mapInArrow(first, POST)), "lm-count")
+    _store.tidy(spark)
     totals = {k: v or 0 for k, v in back.agg(F.sum("n").alias("n"), F.sum("distinct").alias("distinct"), F.sum("once").alias("once")).first().asDict().items()}
 
     def lists(back: DataFrame, name: str) -> DataFrame:
-        return back.groupBy(F.col("block").alias(f"{name}_of")).agg(F.collect_list(F.struct("range", "kind", "a", "b")).alias(name))  # a block's own, RANGES blocks to one
+        return back.groupBy(F.col("block").alias(f"{name}_of")).agg(F.collect_list(F.struct("range", "kind", "a")).alias(name))  # a block's own, RANGES blocks to one
 
-    counted = blocks.join(lists(back, "counts"), F.col("block") == F.col("counts_of"), "left").select("block", "id", "train", "text", "counts")
+    counted = blocks.join(lists(back, "counts"), F.col("block") == F.col("counts_of"), "left").select("block", "body", "counts")
 
     def second(batches):
         for b in batches:
             for i in range(b.num_rows):
-                s = Sequences(b.column("text")[i].as_py(), depth)
-                for kind, (places, follow, g) in enumerate(gains(s, returned(b.column("counts")[i].as_py()), totals["n"], depth, least)):
-                    yield posted(b.column("block")[i].as_py(), ranges, kind, s.keys[kind][places], follow.astype(np.uint64), (g + BIAS).astype(np.uint64))
+                s = Sequences(_rows(b.column("body")[i])["text"], depth, bits)
+                for kind, (places, follow, g) in enumerate(gains(s, returned(b.column("counts")[i]), totals["n"], depth, least)):
+                    g = g.astype(np.int64)  # signs last, so that small numbers stay short
+                    yield posted(b.column("block")[i].as_py(), ranges, bits, kind, s.keys[kind][places], follow.astype(np.uint64), ((g << 1) ^ (g >> 63)).astype(np.uint64))
 
     with _store.batch_rows(spark, 1):
-        posts = _store.written(counted.mapInArrow(second, POST), "lm-post")
-    told = _store.written(_states(posts, gain), "lm-state")
-    _store.forget(posts)
-    ready = counted.join(lists(told, "states"), F.col("block") == F.col("states_of"), "left").select("id", "train", "text", "counts", "states")
+        told = _store.written(states_of(counted.mapInArrow(second, POST), gain), "lm-state")
+    _store.tidy(spark)
+    ready = counted.join(lists(told, "states"), F.col("block") == F.col("states_of"), "left").select("body", "counts", "states")
 
     def third(batches):
         for b in batches:
             for i in range(b.num_rows):
-                s = Sequences(b.column("text")[i].as_py(), depth)
-                back = returned(b.column("counts")[i].as_py())
+                rows = _rows(b.column("body")[i])
+                s = Sequences(rows["text"], depth, bits)
+                back = returned(b.column("counts")[i])
                 states = []
-                for kind, (kinds, _) in enumerate(returned(b.column("states")[i].as_py())):
-                    inner = s.word[s.first[kind]] & (back[kind][0] >= least)
+                for kind, kinds in enumerate(returned(b.column("states")[i])):
+                    inner = s.word[s.first[kind]] & (back[kind] >> _U(1) >= least)
                     if kind == 1:
                         inner &= s.order < depth
                     held = np.zeros(len(s.keys[kind]), np.int64)
                     held[inner] = kinds
                     states.append(held)
                 n, k, base, own = scores(s, back, states, totals, depth)
-                yield pa.RecordBatch.from_arrays([b.column("id")[i].values, b.column("train")[i].values, pa.array(n), pa.array(k), pa.array(base), pa.array(own)], ["id", "train", "n_tokens", "n_known", "base_score", "score"])
+                yield pa.RecordBatch.from_arrays([rows["id"].combine_chunks(), rows["train"].combine_chunks(), pa.array(n), pa.array(k), pa.array(base), pa.array(own)], ["id", "train", "n_tokens", "n_known", "base_score", "score"])
 
     with _store.batch_rows(spark, 1):
         out = _store.written(ready.mapInArrow(third, "id long, train boolean, n_tokens long, n_known long, base_score double, score double"), "lm-score")
     return out.withColumn("train_tokens", F.lit(int(totals["n"])).cast("long"))
-
-
-def _states(posts: DataFrame, gain: float) -> DataFrame:
-    """(range, block, kind, a, b): ``a`` the followers of each of a block's contexts that are states, 0 for the others."""
-
-    def merge(key, table):
-        keys = [unpacked(x) for x in table["keys"].to_pylist()]
-        size = [len(x) for x in keys]
-        every = np.concatenate(keys)
-        order = np.argsort(every, kind="stable")
-        ordered = every[order]
-        new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-        follow = np.concatenate([spread(x) for x in table["a"].to_pylist()])[order]
-        won = np.concatenate([spread(x) for x in table["b"].to_pylist()])[order].astype(np.int64) - BIAS
-        head, of = np.flatnonzero(new), np.cumsum(new) - 1
-        kinds = np.where(np.add.reduceat(won, head) >= gain * SCALE, np.add.reduceat(follow, head), _U(0))
-        out = np.empty(len(every), np.uint64)
-        out[order] = kinds[of]
-        ends = np.cumsum(size)
-        a = pa.array([squeezed(out[e - s : e]) for s, e in zip(size, ends)], pa.binary())
-        return pa.table({"range": table["range"], "block": table["block"], "kind": table["kind"], "a": a, "b": pa.array([b"\1"] * len(size), pa.binary())})
-
-    return posts.groupBy("range", "kind").applyInArrow(merge, "range int, block long, kind tinyint, a binary, b binary")

@@ -81,7 +81,7 @@ def test_packing_and_ranges():
     keys = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2))
     assert (st.unpacked(st.packed(keys)) == keys).all() and len(st.unpacked(st.packed(keys[:0]))) == 0
     few = rng.integers(0, 300, 50).astype(np.uint64)
-    assert (st.spread(st.squeezed(few)) == few).all() and len(st.squeezed(few)) == 1 + 2 * 50
+    assert (st.spread(st.squeezed(few)) == few).all()
     at = st.range_of(keys, 7, 64)
     assert (np.diff(at.astype(int)) >= 0).all() and set(at.tolist()) == set(range(7))
 
