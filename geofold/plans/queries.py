@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -416,21 +418,21 @@ def tile_grid(spark, sf_dir):
 
 
 def _tiles(spark, sf_dir):
-    """Overlapping 16-pixel tiles on a step of 12, ranked by id; each predicts one class, some none."""
+    """Overlapping 16-pixel tiles on a step of 12, ranked by id; each predicts one class. Tiles of label 7 have no class, of 8 no prediction, of 9 no place."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("i"), "label")
-    at = e.where("i < 100").select(F.col("i").cast("string").alias("tile_id"), F.col("i").alias("rank"), (F.floor(F.col("i") / 10) * 12).cast("long").alias("row0"), (F.col("i") % 10 * 12).alias("col0"))
-    predictions = e.where("i % 9 <> 0 AND i < 120").select(F.col("i").cast("string").alias("tile_id"), F.when(F.col("label") < 7, F.col("label")).alias("cls"))
+    at = e.where("label <> 9").select(F.col("i").cast("string").alias("tile_id"), F.col("i").alias("rank"), (F.floor(F.col("i") / 10) * 12).cast("long").alias("row0"), (F.col("i") % 10 * 12).alias("col0"))
+    predictions = e.where("label <> 8").select(F.col("i").cast("string").alias("tile_id"), F.when(F.col("label") < 7, F.col("label")).alias("cls"))
     return predictions, at
 
 
-@query("""WITH t AS (SELECT vec_id AS rank, vec_id // 10 * 12 AS r0, vec_id % 10 * 12 AS c0, CASE WHEN label < 7 THEN label END AS cls FROM embeddings WHERE vec_id < 100 AND vec_id % 9 <> 0),
+@query("""WITH t AS (SELECT vec_id AS rank, vec_id // 10 * 12 AS r0, vec_id % 10 * 12 AS c0, CASE WHEN label < 7 THEN label END AS cls FROM embeddings WHERE label NOT IN (8, 9)),
 p AS (SELECT r0 + a.r AS "row", c0 + b.c AS col, rank, cls FROM t CROSS JOIN range(0, 16) a(r) CROSS JOIN range(0, 16) b(c) WHERE cls IS NOT NULL)
 SELECT "row", col, arg_min(cls, rank) AS cls FROM p GROUP BY "row", col""")
 def mosaic_first(spark, sf_dir):
     return grid.mosaic(grid.paint(*_tiles(spark, sf_dir), 16))
 
 
-@query("SELECT CAST(vec_id AS VARCHAR) AS tile_id FROM embeddings WHERE vec_id >= 100 AND vec_id < 120 AND vec_id % 9 <> 0")
+@query("SELECT CAST(vec_id AS VARCHAR) AS tile_id FROM embeddings WHERE label = 9")
 def mosaic_unmatched(spark, sf_dir):
     return grid.unmatched(*_tiles(spark, sf_dir))
 
@@ -450,11 +452,13 @@ def common_extent(spark, sf_dir):
 
 
 def _target(px, spark):
+    """The raster's height, and cells of 4 m over all of it."""
     h = px.agg(F.max("y")).first()[0] + 5.0
-    return h, grid.target(spark, 100.0, h - 60.0, 400.0, h, 4.0)
+    return h, grid.target(spark, 0.0, h - 4.0 * math.ceil(h / 4.0), 1000.0, h, 4.0)
 
 
-_T4 = """, hh AS (SELECT max(y) + 5 AS h FROM px), tg AS (SELECT r AS "row", c AS col, 100.0::DOUBLE + (c + 0.5::DOUBLE) * 4.0::DOUBLE AS x, h - (r + 0.5::DOUBLE) * 4.0::DOUBLE AS y, h FROM range(0, 15) a(r) CROSS JOIN range(0, 75) b(c) CROSS JOIN hh) """
+_T4 = """, hh AS (SELECT max(y) + 5 AS h FROM px), tg AS (SELECT r AS "row", c AS col, (c + 0.5::DOUBLE) * 4.0::DOUBLE AS x, h - (r + 0.5::DOUBLE) * 4.0::DOUBLE AS y, h FROM (SELECT h, unnest(range(0, CAST(ceil(h / 4) AS BIGINT))) AS r FROM hh) CROSS JOIN range(0, 250) b(c)),
+f AS (SELECT "row", col, (h - y) / 10.0 - 0.5::DOUBLE AS fr, x / 10.0 - 0.5::DOUBLE AS fc FROM tg), near AS (SELECT f.*, CAST(floor(fr) AS BIGINT) + a.dr AS sr, CAST(floor(fc) AS BIGINT) + b.dc AS sc FROM f CROSS JOIN range(-1, 3) a(dr) CROSS JOIN range(-1, 3) b(dc)) """
 
 
 @query(PX + _T4 + 'SELECT tg."row", tg.col, coalesce(px.model_a, 255) AS cls FROM tg JOIN px ON px."row" = CAST(floor((tg.h - tg.y) / 10.0) AS BIGINT) AND px.col = CAST(floor(tg.x / 10.0) AS BIGINT)')
@@ -464,8 +468,7 @@ def resample_nearest(spark, sf_dir):
     return filed(grid.resample(px, cells, 0.0, h, 10.0, "cls"))
 
 
-@query(PX + _T4 + """, f AS (SELECT "row", col, (h - y) / 10.0 - 0.5::DOUBLE AS fr, x / 10.0 - 0.5::DOUBLE AS fc FROM tg),
-n AS (SELECT f."row", f.col, px.conf AS v, greatest(0, 1 - abs(fr - px."row")) * greatest(0, 1 - abs(fc - px.col)) AS w FROM f JOIN px ON px."row" IN (CAST(floor(fr) AS BIGINT), CAST(floor(fr) AS BIGINT) + 1) AND px.col IN (CAST(floor(fc) AS BIGINT), CAST(floor(fc) AS BIGINT) + 1) WHERE model_a IS NOT NULL)
+@query(PX + _T4 + """, n AS (SELECT near."row", near.col, px.conf AS v, greatest(0, 1 - abs(fr - sr)) * greatest(0, 1 - abs(fc - sc)) AS w FROM near JOIN px ON px."row" = sr AND px.col = sc WHERE model_a IS NOT NULL)
 SELECT "row", col, round(sum(v * w) / sum(w), 8) AS conf FROM n GROUP BY "row", col HAVING sum(w) <> 0""")
 def resample_bilinear(spark, sf_dir):
     px = fx.pixels(spark, sf_dir).where("model_a IS NOT NULL")
@@ -473,12 +476,16 @@ def resample_bilinear(spark, sf_dir):
     return grid.resample(px, cells, 0.0, h, 10.0, "conf", "bilinear").select("row", "col", F.round("conf", 8).alias("conf"))
 
 
-@query()
+def _cubic(d: str) -> str:
+    return f"(CASE WHEN abs({d}) <= 1 THEN 1.5 * abs({d}) ** 3 - 2.5 * abs({d}) ** 2 + 1 WHEN abs({d}) < 2 THEN -0.5 * abs({d}) ** 3 + 2.5 * abs({d}) ** 2 - 4 * abs({d}) + 2 ELSE 0 END)"
+
+
+@query(PX + _T4 + f""", n AS (SELECT near."row", near.col, px.conf AS v, {_cubic("(fr - sr)")} * {_cubic("(fc - sc)")} AS w FROM near JOIN px ON px."row" = sr AND px.col = sc WHERE px.conf IS NOT NULL)
+SELECT "row", col, round(sum(v * w) / sum(w), 8) AS conf FROM n GROUP BY "row", col HAVING sum(w) <> 0""")
 def resample_cubic(spark, sf_dir):
     px = fx.pixels(spark, sf_dir)
-    west, south, east, north = px.agg(F.min("x") - 5.0, F.min("y") - 5.0, F.max("x") + 5.0, F.max("y") + 5.0).first()
-    cells = grid.target(spark, west, south, east, north, 4.0)
-    return grid.resample(px, cells, west, north, 10.0, "conf", "cubic").select("row", "col", F.round("conf", 8).alias("conf"))
+    h, cells = _target(px, spark)
+    return grid.resample(px, cells, 0.0, h, 10.0, "conf", "cubic").select("row", "col", F.round("conf", 8).alias("conf"))
 
 
 @query("SELECT CAST(user_id AS BIGINT) AS px, median(value) AS v FROM events WHERE value IS NOT NULL GROUP BY user_id")
@@ -649,7 +656,7 @@ def utm_project(spark, sf_dir):
     return p.select("event_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
 
 
-@query()
+@query("SELECT event_id, true AS lon_ok, true AS lat_ok FROM events")  # what a round trip must be: where it began
 def utm_round_trip(spark, sf_dir):
     i = F.col("event_id")
     p = table(spark, sf_dir, "events").select("event_id", (-123 + (i % 60) / 10.0 - 3).alias("lon"), (40 + (i % 100) / 10.0).alias("lat"))
