@@ -15,13 +15,15 @@ _cleared: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """URI of the shared folder: ``spark.checkpoint.dir``, or a temporary one where it is unset and one machine does all."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or None
     if base is None:
         held = sc._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if base is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='geofold-')}"
         sc.setCheckpointDir(base)
     return base.rstrip("/")

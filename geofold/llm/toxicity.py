@@ -14,8 +14,8 @@ use are ordinary words and don't count.
 
 Scoring: a hit counts more with other hits in a window of words around it, and hits inside
 quotation marks that open and close within the window are summed apart. Two sums, logs
-of them, and a logistic model fitted on the sample and PRIOR rows of each of two stated cases
-(one plain hit is abuse; quotation alone is none) give the score. Labels, language, source
+of them, and a logistic model fitted on the sample give the score; a ridge holds what the sample
+says nothing of at zero, so quotation alone is no abuse unless labels say so. Labels, language, source
 and ids are never features.
 
 Null and empty texts have no hits and get the score of such texts. Conflicting labels of
@@ -36,10 +36,8 @@ from pyspark.sql import functions as F
 from geofold.llm import _bytes, _store
 
 SAMPLE = 20_000  # labelled rows that the lexicon and the model are fitted on
-TERMS = 256  # terms of the lexicon
 PREFIXES = (4, 5, 6, 7, 8)
 WINDOW = 12
-PRIOR = 2  # rows added to the sample for each of two cases that labels may lack
 CUT = 0.7
 _STOP = ord("$")
 #: Quotation marks of several scripts, as UTF-8: fixed values.
@@ -307,8 +305,7 @@ def lexicon(texts: DataFrame) -> list[str]:
         .withColumn("g", ratio)
         .where(F.col("g") >= bar)
         .orderBy(F.desc("g"), F.desc(F.length("t")), "t")
-        .limit(TERMS * 8)
-        .collect()
+        .collect()  # no more than the words of the sample that stand in three toxic texts
     )
     return closed([(r["t"], int(r["bad"])) for r in found])
 
@@ -326,7 +323,7 @@ def closed(found: list[tuple[str, int]]) -> list[str]:
             continue
         kept.append(t)
     order = {t: i for i, (t, _) in enumerate(found)}
-    return sorted(kept, key=order.get)[:TERMS]
+    return sorted(kept, key=order.get)
 
 
 def fit(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text_col: str = "text", label_id: str = "doc_id", label_col: str = "toxic") -> Model:
@@ -361,8 +358,6 @@ def fit(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text_c
         x.append(np.log1p(f))
         y.append(r["y"])
         n.append(r["count"])
-    if len(set(y)) == 2:  # what labels may not hold: one plain hit is abuse, hits in quotation alone are none
-        x, y, n = [*x, np.log1p([1.0, 0.0]), np.log1p([0.0, 3.0])], [*y, 1, 0], [*n, PRIOR, PRIOR]
     x, y = np.array(x).reshape(-1, 2), np.array(y, float)
     return Model(auto, ordinary, logistic(np.repeat(x, n, axis=0), np.repeat(y, n)))
 
