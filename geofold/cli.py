@@ -63,7 +63,10 @@ def discover_existing(a, spark):
     found = discovery.experiments(spark, a.folder)
     if a.log:
         found = discovery.catalogue(found, discovery.log(spark, a.log))
-    discovery.complete(found).coalesce(1).write.mode("overwrite").json(a.out)
+    if a.out.endswith((".yaml", ".yml")):
+        discovery.to_yaml(found, a.out)
+    else:
+        discovery.complete(found).coalesce(1).write.mode("overwrite").json(a.out)
     return f"{found.count()} experiments, {found.where('has_metrics').count()} complete"
 
 
@@ -79,6 +82,11 @@ def import_labels(a, spark):
 def generate_labels(a, spark):
     px, _ = load_raster(spark, a.raster)
     made = labels.worldcover(px.select((F.col("row") * 10**7 + F.col("col")).alias("px"), "x", "y", F.col("cls").alias("label")), a.per_class)
+    if a.observations:  # (px, x, y, label, probabilities), dated
+        seen = spark.read.parquet(a.observations)
+        probs = [c for c in seen.columns if c.startswith("p_")]
+        made = labels.combine(made, labels.dynamic_world(seen, probs, a.per_class, a.confidence))
+        made = made.withColumn("px", F.xxhash64("source", "px"))  # ids of two sources
     thinned = labels.thin(made.withColumnRenamed("px", "point_id"), a.distance) if a.distance else made.withColumnRenamed("px", "point_id")
     sinks.splits(labels.split(thinned, a.val), a.out)
     return f"labels in {a.out}"
@@ -126,8 +134,12 @@ def predict(a, spark):
 
 
 def mosaic_tiles(a, spark):
-    px = grid.paint(spark.read.parquet(a.predictions).select("tile_id", "cls"), spark.read.parquet(a.tiles), a.size)
-    sinks.raster(grid.mosaic(px), a.out, "classification", "cls")
+    made, places = spark.read.parquet(a.predictions), spark.read.parquet(a.tiles)
+    if "probs" in made.columns:
+        every = grid.products(grid.paint(made.select("tile_id", "probs"), places, a.size)).persist()
+        sinks.products(every, a.out, a.west, a.north, a.res, {"tiles": a.tiles, "predictions": a.predictions})
+    else:
+        sinks.raster(grid.mosaic(grid.paint(made.select("tile_id", "cls"), places, a.size)), a.out, "classification", "cls")
     return f"mosaic in {a.out}"
 
 
@@ -188,8 +200,15 @@ def ensemble(a, spark):
     issues = cfg.broken("ensemble", a.strategy) + (cfg.broken("weights", (a.weights, len(a.rasters))) if a.weights else [])
     if issues:
         raise ValueError(cfg.report(issues))
-    if a.strategy == "probability_average":
-        raise ValueError("probability_average works on probability tables: use functions.votes.average")
+    if a.strategy == "probability_average":  # tables (row, col, probs)
+        joined = None
+        for i, path in enumerate(a.rasters):
+            one = spark.read.parquet(path).select("row", "col", F.col("probs").alias(f"p{i}"))
+            joined = one if joined is None else joined.join(one, ["row", "col"])
+        mean = joined.select("row", "col", votes.average([f"p{i}" for i in range(len(a.rasters))], a.weights).alias("probs"))
+        out = mean.select("row", "col", votes.argmax(F.col("probs")).alias("cls"), F.array_max("probs").alias("confidence"), "probs").persist()
+        sinks.ensemble({"classification": out.select("row", "col", "cls"), "confidence": out.select("row", "col", "confidence"), "probability": out.select("row", "col", "probs")}, a.out, {"strategy": a.strategy, "models": a.rasters})
+        return f"ensemble in {a.out}"
     wide = aligned(spark, a.rasters)
     names = [f"m{i}" for i in range(len(a.rasters))]
     cls, share = votes.weighted(names, dict(zip(names, a.weights)) if a.weights else None)
@@ -225,14 +244,14 @@ COMMANDS = {
     "export-imagery": (remote, False, []),
     "check-exports": (remote, False, []),
     "download-models": (remote, False, []),
-    "generate-labels": (generate_labels, True, ["raster", "out", "--per-class:int=500", "--distance:float=0", "--val:float=0.2"]),
+    "generate-labels": (generate_labels, True, ["raster", "out", "--observations", "--confidence:float=0.6", "--per-class:int=500", "--distance:float=0", "--val:float=0.2"]),
     "import-labels": (import_labels, True, ["points", "out", "--field=land_cover"]),
     "preprocess": (preprocess_tiles, True, ["tiles", "out", "--model=prithvi", "--height:int=256", "--width:int=256", "--nodata:float"]),
     "status": (status, True, ["index"]),
     "generate-embeddings": (generate_embeddings, True, ["tiles", "progress", "out", "--model=prithvi"]),
     "train-classifier": (train_classifier, True, ["embeddings", "labels", "out", "--classifier=random_forest", "--folds:int=0"]),
     "predict": (predict, True, ["model", "embeddings", "out"]),
-    "mosaic-tiles": (mosaic_tiles, True, ["predictions", "tiles", "out", "--size:int=256"]),
+    "mosaic-tiles": (mosaic_tiles, True, ["predictions", "tiles", "out", "--size:int=256", "--west:float=0", "--north:float=0", "--res:float=10"]),
     "process-by-focus": (process_by_focus, True, ["raster", "zones", "out", "--id-field=NAME"]),
     "zonal-stats": (zonal_stats, True, ["raster", "zones", "out", "--id-field=NAME"]),
     "assess-accuracy": (assess_accuracy, True, ["raster", "points", "out", "--field=LC_CLASS", "--report"]),

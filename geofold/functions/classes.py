@@ -32,10 +32,11 @@ def lookup(mapping: dict, key: Column | str) -> Column:
     return F.try_element_at(table, key)
 
 
-def class_name(cls: Column | str) -> Column:
-    """Name of a class index; ``class_k`` beyond the schema, NULL for nodata."""
+def class_name(cls: Column | str, schema: dict[str, int] | None = None) -> Column:
+    """Name of a class index, in another schema where one is given; ``class_k`` beyond the schema, NULL for nodata."""
     cls = F.col(cls) if isinstance(cls, str) else cls
-    return F.coalesce(lookup(NAMES, cls.cast("int")), F.concat(F.lit("class_"), cls.cast("string")))
+    names = {v: k for k, v in schema.items()} if schema else NAMES
+    return F.coalesce(lookup(names, cls.cast("int")), F.concat(F.lit("class_"), cls.cast("string")))
 
 
 def class_index(name: Column | str) -> Column:

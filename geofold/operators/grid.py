@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geofold.functions.classes import N_CLASSES
 from geofold.functions.geo import tile_id
+from geofold.functions.votes import argmax
 
 METHODS = ("nearest", "bilinear", "cubic")
 
@@ -42,6 +44,12 @@ def mosaic(pixels: DataFrame) -> DataFrame:
     return pixels.where("cls IS NOT NULL").groupBy("row", "col").agg(F.min_by("cls", "rank").alias("cls"))
 
 
+def products(pixels: DataFrame, n: int = N_CLASSES) -> DataFrame:
+    """(row, col, cls, confidence, probs) of painted probabilities: of overlapping tiles the one of lowest rank that has some."""
+    one = pixels.where("probs IS NOT NULL").groupBy("row", "col").agg(F.min_by("probs", "rank").alias("probs"))
+    return one.select("row", "col", argmax(F.col("probs")).alias("cls"), F.array_max("probs").alias("confidence"), padded("probs", n).alias("probs"))
+
+
 def padded(probs, n: int):
     """An array of n probabilities: cut or filled with zeros."""
     p = F.col(probs) if isinstance(probs, str) else probs

@@ -72,19 +72,30 @@ def _has_checkpoints(df: DataFrame) -> bool:
     return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 
 
+def ranked(rows: DataFrame, by: str | None, id_col: str, seed: int) -> DataFrame:
+    """Rows with ``nth`` (from 1) in hash order of the id within a class, and the class's ``size``.
+
+    Each class is numbered in 4,096 runs of its hashes, so no class is sorted in one task; only the runs' counts are.
+    """
+    at = rows.withColumn("hash_", F.xxhash64(F.lit(seed), id_col)).withColumn("run_", F.shiftright("hash_", 52)).withColumn("by_", F.col(by) if by else F.lit(0))
+    whole = Window.partitionBy("by_")
+    counts = at.groupBy("by_", "run_").agg(F.count("*").alias("n_"))
+    counts = counts.select(F.col("by_").alias("by2_"), F.col("run_").alias("run2_"), (F.sum("n_").over(whole.orderBy("run_")) - F.col("n_")).alias("before_"), F.sum("n_").over(whole).alias("size"))
+    here = Window.partitionBy("by_", "run_").orderBy("hash_", id_col)
+    out = at.withColumn("nth_", F.row_number().over(here)).join(counts, F.col("by_").eqNullSafe(F.col("by2_")) & (F.col("run_") == F.col("run2_")))
+    return out.select(*rows.columns, (F.col("before_") + F.col("nth_")).alias("nth"), "size")
+
+
 def split(labels: DataFrame, share: float, seed: int = 42, by: str | None = "lc_class", id_col: str = "point_id") -> DataFrame:
     """Labels with ``part``, train or val. Per class the first max(1, n(1 - share)) of a hash order train; without a class n(1 - share)."""
-    w = Window.partitionBy(*([by] if by else [F.lit(0)]))
-    order = w.orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
-    size = F.floor(F.count("*").over(w) * F.lit(1 - share)).cast("long")
+    size = F.floor(F.col("size") * F.lit(1 - share)).cast("long")
     size = F.greatest(F.lit(1), size) if by else size
-    return labels.withColumn("part", F.when(F.row_number().over(order) <= size, "train").otherwise("val"))
+    return ranked(labels, by, id_col, seed).withColumn("part", F.when(F.col("nth") <= size, "train").otherwise("val")).drop("nth", "size")
 
 
 def folds(rows: DataFrame, k: int, by: str | None = None, seed: int = 42, id_col: str = "tile_id") -> DataFrame:
     """Rows with a fold 0..k-1, spread evenly in each class."""
-    w = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)).cast("int"))
+    return ranked(rows, by, id_col, seed).withColumn("fold", F.pmod(F.col("nth") - 1, F.lit(k)).cast("int")).drop("nth", "size")
 
 
 def combine(*sources: DataFrame) -> DataFrame:

@@ -60,6 +60,12 @@ def run_batches(spark: SparkSession, tiles: DataFrame, progress_path: str, work,
     return spark.createDataFrame(rows, "status string, n long")
 
 
+def clear(spark: SparkSession, path: str) -> bool:
+    """Deletes a cache, wherever Spark keeps it; whether there was one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cached(tiles: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of the cache for the tiles, tiles that it lacks)."""
     return cache.join(tiles.select("tile_id"), "tile_id", "left_semi"), tiles.join(cache, "tile_id", "left_anti")

@@ -30,6 +30,15 @@ def boxed(polygons: DataFrame) -> DataFrame:
     return polygons.select("*", F.array_min("xs").alias("west"), F.array_min("ys").alias("south"), F.array_max("xs").alias("east"), F.array_max("ys").alias("north"))
 
 
+def zone_union(polygons: DataFrame) -> DataFrame:
+    """(zone_id, rings, west, south, east, north): the parts of a zone as one geometry of several rings, and its box."""
+    one = boxed(polygons).groupBy("zone_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("part", "xs", "ys"))), lambda r: F.arrays_zip(r["xs"].alias("x"), r["ys"].alias("y"))).alias("rings"),  # a zone's own parts
+        F.min("west").alias("west"), F.min("south").alias("south"), F.max("east").alias("east"), F.max("north").alias("north"),
+    )
+    return one
+
+
 def in_zones(pixels: DataFrame, zones: DataFrame, block: float = BLOCK) -> DataFrame:
     """(zone_id, pixel columns): a pixel once for each zone that holds its centre."""
     polygon = "xs" in zones.columns

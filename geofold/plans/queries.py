@@ -432,6 +432,16 @@ def mosaic_first(spark, sf_dir):
     return grid.mosaic(grid.paint(*_tiles(spark, sf_dir), 16))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding[1:7], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE) + 0.001::DOUBLE) AS s FROM embeddings WHERE label <> 9),
+t AS (SELECT vec_id AS rank, vec_id // 10 * 12 AS r0, vec_id % 10 * 12 AS c0, list_max(s) / list_sum(s) AS conf, list_position(s, list_max(s)) - 1 AS cls FROM e),
+p AS (SELECT r0 + a.r AS "row", c0 + b.c AS col, rank, conf, cls FROM t CROSS JOIN range(0, 16) a(r) CROSS JOIN range(0, 16) b(c))
+SELECT "row", col, CAST(arg_min(cls, rank) AS INT) AS cls, round(arg_min(conf, rank), 8) AS confidence FROM p GROUP BY "row", col""")
+def confidence_tiles(spark, sf_dir):
+    probs = fx.slices(spark, sf_dir).select(F.col("tile_id").cast("string").alias("tile_id"), F.col("a").alias("probs"))
+    made = grid.products(grid.paint(probs, _tiles(spark, sf_dir)[1], 16))
+    return made.select("row", "col", "cls", F.round("confidence", 8).alias("confidence"))
+
+
 @query("SELECT CAST(vec_id AS VARCHAR) AS tile_id FROM embeddings WHERE label = 9")
 def mosaic_unmatched(spark, sf_dir):
     return grid.unmatched(*_tiles(spark, sf_dir))

@@ -65,3 +65,11 @@ def catalogue(found: DataFrame, entries: DataFrame) -> DataFrame:
 def complete(found: DataFrame) -> DataFrame:
     """Experiments with metrics, metrics rounded to four places: what is saved."""
     return found.where("has_metrics").withColumn("metrics", F.transform_values("metrics", lambda k, v: F.round(v, 4)))
+
+
+def to_yaml(found: DataFrame, path: str) -> int:
+    """Complete experiments as one YAML file, by name; how many there are. A row a training run, streamed."""
+    rows = {r["experiment_id"]: r.asDict(recursive=True) for r in complete(found).orderBy("experiment_id").toLocalIterator()}
+    with open(path, "w", encoding="utf-8") as f:
+        yaml.safe_dump({"experiments": rows}, f, sort_keys=True)
+    return len(rows)

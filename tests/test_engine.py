@@ -1,3 +1,4 @@
+import numpy as np
 """Goldens of the operators on small tables."""
 
 import pytest
@@ -246,3 +247,39 @@ def test_package_is_sent_once_and_only_where_needed(monkeypatch):
     session.ship(fake)
     session.ship(fake)
     assert len(sent) == 1 and "geofold/session.py" in zipfile.ZipFile(sent[0]).namelist()
+
+
+def test_products_squares_and_zone_unions(spark, tmp_path):
+    from geofold.functions import classes
+    from geofold.operators import grid, tiles, zonal
+    from geofold.sources import geotiff, sinks
+
+    tiles_at = spark.createDataFrame([("a", 1, 0, 0), ("b", 2, 0, 200)], "tile_id string, rank int, row0 long, col0 long")
+    probs = spark.createDataFrame([("a", [0.1, 0.9]), ("b", [0.6, 0.4])], "tile_id string, probs array<double>")
+    made = grid.products(grid.paint(probs, tiles_at, 300), 3).persist()
+    sinks.products(made, str(tmp_path / "m"), 1000.0, 2000.0, 10.0, {"kind": "test"})
+    got = {(r["row"], r["col"]): (r["cls"], r["confidence"], r["probs"]) for r in made.where("row = 0").collect()}
+    assert got[(0, 299)] == (1, 0.9, [0.1, 0.9, 0.0]) and got[(0, 300)] == (0, 0.6, [0.6, 0.4, 0.0])
+    files = sorted((tmp_path / "m/geotiff/classification").glob("*.tif"))
+    assert [f.name for f in files] == [f"{i:06d}_{j:06d}.tif" for i in (0, 1) for j in (0, 1)]
+    with open(files[1], "rb") as f:
+        data, head = geotiff.read(f)
+    assert head.bounds[0] == 1000 + 2560 and data[0][0][0] == 1 and data[0][0][60] == 0 and data[0][0][250] == 255
+    with open(tmp_path / "m/geotiff/confidence/000000_000001.tif", "rb") as f:
+        data, _ = geotiff.read(f)
+    assert data[0][0][0] == np.float32(0.9) and data[0][0][250] == -1
+    assert tiles.clear(spark, str(tmp_path / "m/geotiff")) and not tiles.clear(spark, str(tmp_path / "m/geotiff"))
+    zones = spark.createDataFrame([("z", 1, [5.0, 6.0, 6.0], [0.0, 0.0, 1.0]), ("z", 0, [0.0, 1.0, 1.0], [0.0, 0.0, 9.0])], "zone_id string, part int, xs array<double>, ys array<double>")
+    one = zonal.zone_union(zones).first()
+    assert (one["west"], one["south"], one["east"], one["north"]) == (0, 0, 6, 9) and [r[0]["x"] for r in one["rings"]] == [0.0, 5.0]
+    assert spark.range(3).select(classes.class_name("id", {"sea": 2}).alias("n")).collect()[2]["n"] == "sea"
+
+
+def test_ranks_are_those_of_one_sort(spark):
+    from geofold.operators import labels
+
+    rows = spark.range(500).selectExpr("id AS point_id", "CASE WHEN id % 3 > 0 THEN id % 3 END AS c")
+    got = labels.ranked(rows, "c", "point_id", 7).selectExpr("c", "point_id", "nth", "size", "xxhash64(7, point_id) AS h").collect()
+    for c in (None, 1, 2):
+        mine = sorted((r for r in got if r["c"] == c), key=lambda r: (r["h"], r["point_id"]))
+        assert [r["nth"] for r in mine] == list(range(1, len(mine) + 1)) and {r["size"] for r in mine} == {len(mine)}
