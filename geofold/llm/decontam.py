@@ -7,18 +7,17 @@ to the whole windows around them, and a window counts once its words are compare
 full. So every shared span of ten words is found, and nothing else. Items of fewer words
 are one window each, fingerprinted by all their words.
 
-The benchmark is read in blocks of at most ``BLOCK`` bytes of text (rows are never
-split): one block, the usual case, is broadcast; further blocks take a pass each over
-the documents, with what was found so far carried along in written tables. Memory is bounded by a
-block and an Arrow batch. Null texts have no words; null item ids are not reported but
-their words still count as hits; repeated items are reported once.
+A benchmark of at most ``BLOCK`` bytes of text, summed before it is read, is broadcast, and the
+documents are read once. A larger one is joined: the fingerprints of the documents with those of the
+test items, then the windows around the fingerprints that both have with the items' windows, word by word; two
+passes and a copy of the documents at any size of the benchmark. Both ways find the same. Memory is bounded by a
+block, an Arrow batch and a document's own windows. Null texts have no words; null item ids are not reported but
+their words still count as hits; repeated items are reported once; repeated rows are kept apart.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -97,6 +96,15 @@ def _small(table: np.ndarray) -> np.ndarray:
     return out
 
 
+def _around(at: np.ndarray, row: np.ndarray, n: int, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and rows of all windows of ``size`` words in one row that hold a gram of k words that starts in ``at``."""
+    first = np.unique((at[:, None] - np.arange(size - k + 1)[None, :]).ravel())
+    first = first[(first >= 0) & (first + size <= n)]
+    r = np.searchsorted(row, first, side="right") - 1
+    inside = first + size <= row[r + 1]
+    return first[inside], r[inside]
+
+
 def scan(index: Index, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """(word offsets of rows, mask of hit words, [(row, first word, size)] of the windows found)."""
     low, starts, ends, row, h = _prepare(data, off)
@@ -111,12 +119,7 @@ def scan(index: Index, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
         at = at[_member(index.prints[size], g[at])]
         if not len(at):
             continue
-        reach = size - k + 1  # extension: every window that holds the gram
-        first = np.unique((at[:, None] - np.arange(reach)[None, :]).ravel())
-        first = first[(first >= 0) & (first + size <= len(h))]
-        r = np.searchsorted(row, first, side="right") - 1
-        inside = first + size <= row[r + 1]
-        first, r = first[inside], r[inside]
+        first, r = _around(at, row, len(h), size, k)
         full = _bytes.ngrams(h, size) if size > 1 else _bytes.ngrams(h, 1)
         ok = _member(table, full[first])
         raw = raw if raw is not None else low.tobytes()
@@ -130,19 +133,6 @@ def scan(index: Index, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, n
     return row, mask, out
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", text_col: str = "text", limit: int = BLOCK) -> Iterator[list]:
-    """Lists of (item, text) of about ``limit`` bytes; the driver holds one at a time."""
-    block, size = [], 0
-    for r in benchmark.select(F.col(item_col).alias("i"), F.col(text_col).alias("t")).toLocalIterator():
-        block.append((r["i"], r["t"]))
-        size += len((r["t"] or "").encode()) + 16
-        if size >= limit:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<first:int,end:int>>"
 
 
@@ -151,26 +141,94 @@ def scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: st
     _store.text_batches(docs.sparkSession)
     spark = docs.sparkSession
     names = [f"c{i}" for i in range(len(keep))]
-    state = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
-    held, ended = state.schema, state.drop("text", "hits", "items").schema
+    state = docs.select(*[F.col(c).alias(n) for c, n in zip(keep, names)], F.col(text_col).cast("string").alias("text"))
+    ended = state.drop("text").schema
     for f in T._parse_datatype_string(FOUND).fields:
         ended = ended.add(f)
-    for block, last in list_ahead(blocks(benchmark, limit=block_bytes)):
-        index = spark.sparkContext.broadcast(Index(block))
-
-        def run(batches, index=index, last=last):
+    tests = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    size = tests.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    if size > block_bytes:
+        out = _joined(state, tests, names, ended)
+    else:
+        index = spark.sparkContext.broadcast(Index([(r["item"], r["text"]) for r in tests.collect()]))  # block_bytes at most
+
+        def run(batches):
             for b in batches:
                 for lo, hi, data, off in _bytes.pieces(b.column("text")):
                     row, mask, found = scan(index.value, data, off)
                     hit_items: dict[int, set] = {}
                     for rr, _, window in found:
                         hit_items.setdefault(rr, set()).update(index.value.windows[window])
-                    yield finish(b.slice(lo, hi - lo), names, row, mask, hit_items, last)
-
-        state = state.mapInArrow(run, ended if last else held)
-        if not last:
-            state = _store.written(state, "decontam-block")
-    return state.toDF(*keep, *[c.split()[0] for c in FOUND.replace(">>", "").split(", ")])
+                    yield finish(b.slice(lo, hi - lo), names, row, mask, hit_items)
+
+        out = state.mapInArrow(run, ended)
+    return out.toDF(*keep, *[c.split()[0] for c in FOUND.replace(">>", "").split(", ")])
+
+
+def _joined(state: DataFrame, tests: DataFrame, names: list[str], ended) -> DataFrame:
+    """What ``scan`` finds, by joins of fingerprints and of windows."""
+
+    def of_items(batches):
+        for b in batches:
+            out = []
+            for item, text in zip(b.column("item").to_pylist(), b.column("text").to_pylist()):
+                index = Index([(item, text)])
+                out += [(item, w.count(b" ") + 1, w, None) for w in index.windows]
+                out += [(None, size, None, int(x)) for size, table in index.prints.items() for x in table.view(np.int64)]
+            cols = list(zip(*out)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.binary(), pa.int64()))], ["item", "size", "win", "fp"])
+
+    known = _store.written(tests.mapInArrow(of_items, "item string, size int, win binary, fp long"), "decontam-test")
+    prints = _store.written(known.where("fp IS NOT NULL").select("size", "fp").distinct(), "decontam-print")
+    windows = known.where("win IS NOT NULL").select("size", "win", "item").distinct()
+    sizes = sorted(r["size"] for r in prints.select("size").distinct().collect())  # WINDOW at most
+    rows = _store.written(state.withColumn("rid", F.monotonically_increasing_id()), "decontam-row")
+    gram = {size: GRAM if size == WINDOW else size for size in sizes}
+
+    def of_rows(batches):
+        for b in batches:
+            for lo, _, data, off in _bytes.pieces(b.column("text")):
+                _, _, _, row, h = _prepare(data, off)
+                rid = b.column("rid").to_numpy()[lo:]
+                for size in sizes:
+                    g, at = _selected(h, row, size, gram[size])
+                    both = np.unique(np.column_stack((rid[np.searchsorted(row, at, side="right") - 1], g[at].view(np.int64))), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(np.full(len(both), size, np.int32)), pa.array(both[:, 1])], ["rid", "size", "fp"])
+
+    met = rows.select("rid", "text").mapInArrow(of_rows, "rid long, size int, fp long").join(prints, ["size", "fp"], "left_semi")
+    met = met.groupBy(F.col("rid").alias("of")).agg(F.collect_list(F.struct("size", "fp")).alias("met"))  # a row's own
+
+    def extend(batches):
+        for b in batches:
+            for lo, hi, data, off in _bytes.pieces(b.column("text")):
+                low, starts, ends, row, h = _prepare(data, off)
+                raw, rid, both = low.tobytes(), b.column("rid").to_numpy()[lo:], b.column("met").slice(lo, hi - lo).flatten()
+                kind, fp = both.field("size").to_numpy(), both.field("fp").to_numpy().view(np.uint64)
+                for size in sizes:
+                    g, at = _selected(h, row, size, gram[size])
+                    at = at[_member(np.unique(fp[kind == size]), g[at])]
+                    first, r = _around(at, row, len(h), size, gram[size])
+                    wins = [b" ".join([raw[x:y] for x, y in zip(starts[i : i + size], ends[i : i + size])]) for i in first.tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array(rid[r]), pa.array((first - row[r]).astype(np.int32)), pa.array(np.full(len(r), size, np.int32)), pa.array(wins, pa.binary())], ["rid", "first", "size", "win"])
+
+    near = rows.select("rid", "text").join(met, F.col("rid") == F.col("of")).select("rid", "text", "met").mapInArrow(extend, "rid long, first int, size int, win binary")
+    hits = near.join(windows, ["size", "win"]).groupBy(F.col("rid").alias("of")).agg(F.collect_set(F.struct("first", "size")).alias("places"), F.collect_set("item").alias("items"))  # a row's own
+
+    def run(batches):
+        for b in batches:
+            for lo, hi, data, off in _bytes.pieces(b.column("text")):
+                _, _, _, row, _ = _prepare(data, off)
+                some, items = b.slice(lo, hi - lo), {}
+                edge = np.zeros(int(row[-1]) + 1, np.int64)
+                for i, (places, mine) in enumerate(zip(some.column("places").to_pylist(), some.column("items").to_pylist())):
+                    for x in places or []:
+                        edge[row[i] + x["first"]] += 1
+                        edge[row[i] + x["first"] + x["size"]] -= 1
+                    if mine:
+                        items[i] = set(mine)
+                yield finish(some, names, row, np.cumsum(edge)[:-1] > 0, items)
+
+    return rows.join(hits, F.col("rid") == F.col("of"), "left").select(*names, "text", "places", "items").mapInArrow(run, ended)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
@@ -178,30 +236,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return scanned(docs, benchmark, [id_col], text_col, block_bytes).withColumnRenamed(id_col, "id")
 
 
-def list_ahead(blocks):
-    """(block, whether it is the last); an empty benchmark is one empty block."""
-    held = next(blocks, [])
-    for b in blocks:
-        yield held, False
-        held = b
-    yield held, True
-
-
-def finish(b: pa.RecordBatch, keep: list[str], row: np.ndarray, mask: np.ndarray, names: dict[int, set], last: bool) -> pa.RecordBatch:
-    """Adds what earlier blocks found; the last block's rows become results."""
-    hits, items = b.column("hits"), b.column("items")
-    if hits.null_count < len(hits):
-        mask = mask.copy()
-        for i, h in enumerate(hits):
-            if h.is_valid:
-                mask[row[i] : row[i + 1]] |= np.unpackbits(np.frombuffer(h.as_py(), np.uint8), count=int(row[i + 1] - row[i])).astype(bool)
-        for i, x in enumerate(items.to_pylist()):
-            if x:
-                names.setdefault(i, set()).update(x)
+def finish(b: pa.RecordBatch, keep: list[str], row: np.ndarray, mask: np.ndarray, names: dict[int, set]) -> pa.RecordBatch:
+    """Result rows of a slice: its words' offsets, the words that are hit, and the items found in each row."""
     n = np.diff(row)
-    if not last:
-        carry = [np.packbits(mask[row[i] : row[i + 1]]).tobytes() if mask[row[i] : row[i + 1]].any() else None for i in range(len(n))]
-        return pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], b.column("text"), pa.array(carry, pa.binary()), pa.array([sorted(names.get(i, ())) for i in range(len(n))], pa.list_(pa.string()))], [*keep, "text", "hits", "items"])
     total = np.concatenate(([0], np.cumsum(mask)))
     hit = total[row[1:]] - total[row[:-1]]
     listed = [sorted(names.get(i, ())) for i in range(len(n))]
