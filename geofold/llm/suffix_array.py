@@ -47,7 +47,7 @@ PIECE = 1 << 20
 SEEN = 1 << 20
 ONE, LOCAL, DONE = 0, 1, 2
 _OTHER = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)  # bytes as other numbers: a second digest
-UNIT = "kind tinyint, h long, c long, id long, t int, start int, n int"
+UNIT = "kind tinyint, h long, c long, id long, t long, start int, n int"
 
 
 def unit_rows(data: np.ndarray, off: np.ndarray, span: int = SPAN, gram: int = GRAM):
@@ -130,7 +130,7 @@ def settle(held):
 
     def batch(kind, i, hh, cc, s, m):
         return pa.RecordBatch.from_arrays(
-            [pa.array(kind.astype(np.int8)), pa.array(hh.view(np.int64)), pa.array(cc.view(np.int64)), pa.array(ids[i], mask=nulls[i]), pa.array(ts[i], pa.int32()), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))],
+            [pa.array(kind.astype(np.int8)), pa.array(hh.view(np.int64)), pa.array(cc.view(np.int64)), pa.array(ids[i], mask=nulls[i]), pa.array(ts[i], pa.int64()), pa.array(s.astype(np.int32)), pa.array(m.astype(np.int32))],
             ["kind", "h", "c", "id", "t", "start", "n"],
         )
 
@@ -180,7 +180,7 @@ def contexts(keyed: DataFrame, probes: DataFrame) -> DataFrame:
                 )
 
     joined = keyed.join(wanted.withColumnsRenamed({"id": "i2", "t": "t2"}), F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")))
-    return joined.select("id", "t", "text", "units").mapInArrow(run, "h long, id long, t int, start int, need boolean, hot boolean, context binary")
+    return joined.select("id", "t", "text", "units").mapInArrow(run, "h long, id long, t long, start int, need boolean, hot boolean, context binary")
 
 
 def crowded_windows(ctx: DataFrame) -> DataFrame:
@@ -264,7 +264,7 @@ def repeats(ctx: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return ctx.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, t int, start int, n int")
+    return ctx.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, t long, start int, n int")
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -290,7 +290,7 @@ def cut_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     _store.text_batches(docs.sparkSession)
     names = [f"c{i}" for i in range(len(keep))]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names)]).withColumn("t", F.hash("text"))
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, names)]).withColumn("t", F.xxhash64("text"))
     bare = keyed.select("id", "t", "text")
     found = _store.written(units(bare), "suffix-unit")
     some = _store.written(classify(found), "suffix-some")
