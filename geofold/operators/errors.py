@@ -66,16 +66,22 @@ def hotspots(cells: DataFrame, k: int = 10, least: int = 2) -> DataFrame:
     return busy.join(F.broadcast(mean), F.col("rate") > F.col("mean")).select("row", "col", "n", "errors", "rate").orderBy(F.desc("rate"), "row", "col").limit(k)
 
 
-def edges(pixels: DataFrame, cls: str = "cls", size: int = 3) -> DataFrame:
+def edges(pixels: DataFrame, cls: str = "cls", size: int = 3, block: int = 128) -> DataFrame:
     """(row, col, cls, edge): whether any neighbour with data in the size x size window has another class.
 
-    Each pixel is sent to the cells around it and those are summed up: one shuffle, no self-join.
+    Pixels are dealt once by squares of ``block`` cells, each with a rim of its neighbours'
+    pixels (few more rows than pixels). Neighbourhoods are then summed up within a square's
+    task: the grouping by square and cell needs no exchange of its own, and no self-join.
     """
     pad = size // 2
-    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in range(-pad, pad + 1) for dc in range(-pad, pad + 1)])
+    block = max(block, 2 * pad, 1)  # so that no window reaches into more than two squares a side
+    both = lambda v: F.array_distinct(F.array(*[F.floor((F.col(v) + d) / block).cast("long") for d in (-pad, pad)]))
     has = pixels.where(F.col(cls).isNotNull()).select("row", "col", F.col(cls).alias("k"))
-    sent = has.withColumn("s", F.explode(steps)).select((F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), "k", ((F.col("s.dr") == 0) & (F.col("s.dc") == 0)).alias("own"))
-    around = sent.groupBy("row", "col").agg(F.max(F.when(F.col("own"), F.col("k"))).alias("cls"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+    dealt = has.withColumn("br", F.explode(both("row"))).withColumn("bc", F.explode(both("col"))).repartition("br", "bc")
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in range(-pad, pad + 1) for dc in range(-pad, pad + 1)])
+    sent = dealt.withColumn("s", F.explode(steps)).select("br", "bc", (F.col("row") + F.col("s.dr")).alias("row"), (F.col("col") + F.col("s.dc")).alias("col"), "k", ((F.col("s.dr") == 0) & (F.col("s.dc") == 0)).alias("own"))
+    inside = sent.where((F.floor(F.col("row") / block) == F.col("br")) & (F.floor(F.col("col") / block) == F.col("bc")))
+    around = inside.groupBy("br", "bc", "row", "col").agg(F.max(F.when(F.col("own"), F.col("k"))).alias("cls"), F.min("k").alias("lo"), F.max("k").alias("hi"))
     return around.where("cls IS NOT NULL").select("row", "col", "cls", (F.col("lo") != F.col("hi")).alias("edge"))
 
 

@@ -90,9 +90,12 @@ def pivoted(stats: DataFrame) -> DataFrame:
 
 
 def clip(inside: DataFrame) -> DataFrame:
-    """(zone_id, row, col, cls): each zone's pixels with its own origin."""
-    w = Window.partitionBy("zone_id")
-    return inside.select("zone_id", (F.col("row") - F.min("row").over(w)).alias("row"), (F.col("col") - F.min("col").over(w)).alias("col"), "cls")
+    """(zone_id, row, col, cls): each zone's pixels with its own origin.
+
+    The origins are a row a zone, summed before the exchange, so a large zone's pixels stay spread.
+    """
+    origin = inside.groupBy("zone_id").agg(F.min("row").alias("r0"), F.min("col").alias("c0"))
+    return inside.join(origin, "zone_id").select("zone_id", (F.col("row") - F.col("r0")).alias("row"), (F.col("col") - F.col("c0")).alias("col"), "cls")
 
 
 def coverage(inside: DataFrame, zones: DataFrame, pixels: DataFrame) -> DataFrame:

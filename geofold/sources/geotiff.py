@@ -3,7 +3,8 @@
 Reads little- and big-endian TIFF: strips or tiles, chunky or planar bands, no
 compression, LZW, deflate or PackBits, horizontal differencing, integers and floats.
 Bounds come from the model tags. The data source plans a partition for each run of
-strips or tiles, and only reads bands and rows that are asked for.
+strips or tiles; bands that are not asked for and strips or tiles outside the bounds that
+filters set on row, col, x and y are not decoded.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 # TIFF tags and the sizes of field types.
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, ROWS, STRIP_BYTES, PLANAR, PREDICTOR = 256, 257, 258, 259, 273, 277, 278, 279, 284, 317
@@ -217,24 +218,51 @@ class GeoTiffReader(DataSourceReader):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
         self.run = int(options.get("blocksPerPartition", "64"))
+        self.low, self.high = {}, {}
+
+    def pushFilters(self, filters):
+        """Keeps the bounds on row, col, x and y; every filter goes back to Spark, since bounds choose blocks and not pixels."""
+        for f in filters:
+            name = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else None
+            if name in ("row", "col", "x", "y"):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual, EqualTo)):
+                    self.low[name] = max(f.value, self.low.get(name, f.value))
+                if isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                    self.high[name] = min(f.value, self.high.get(name, f.value))
+            yield f
+
+    def wanted(self, h: Header) -> list[tuple[int, int, int, int, int]]:
+        """The blocks that reach into the bounds and hold an asked band."""
+        wide = h.tags[TILE_W][0] if TILES in h.tags else h.width
+        out = []
+        for block in blocks(h):
+            _, plane, r, c, high = block
+            r1, c1 = min(r + high, h.height) - 1, min(c + wide, h.width) - 1
+            spans = {"row": (r, r1), "col": (c, c1)}
+            spans["x"] = tuple(sorted(h.west + (k + 0.5) * h.res_x for k in (c, c1)))
+            spans["y"] = tuple(sorted(h.north - (k + 0.5) * h.res_y for k in (r, r1)))
+            inside = all(hi >= self.low.get(k, hi) and lo <= self.high.get(k, lo) for k, (lo, hi) in spans.items())
+            if inside and not (plane >= 0 and self.bands and plane + 1 not in self.bands):
+                out.append(block)
+        return out
 
     def partitions(self):
         out = []
         for p in self.paths:
             with _open(p) as f:
-                n = len(blocks(read_header(f)))
+                n = len(self.wanted(read_header(f)))
             out += [_Blocks(p, i, min(n, i + self.run)) for i in range(0, n, self.run)]
         return out
 
     def read(self, partition):
         import pyarrow as pa
 
+        if partition is None:  # what Spark passes where no block is wanted
+            return
         path, first, last = partition.value
         with _open(path) as f:
             h = read_header(f)
-            for i, p, r, c, _ in blocks(h)[first:last]:
-                if p >= 0 and self.bands and p + 1 not in self.bands:
-                    continue  # a band that is not asked for is not read
+            for i, p, r, c, _ in self.wanted(h)[first:last]:
                 x = read_block(f, h, i)
                 rows, cols = min(x.shape[1], h.height - r), min(x.shape[2], h.width - c)
                 for b in range(x.shape[0]):
@@ -272,6 +300,8 @@ def _open(path: str):
 
 
 def register(spark: SparkSession) -> None:
+    """Makes the source known; filters reach Python sources only where the session allows it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(GeoTiff)
 
 

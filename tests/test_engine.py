@@ -1,6 +1,8 @@
-import numpy as np
 """Goldens of the operators on small tables."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,6 +129,13 @@ def test_edges(spark):
     px = raster(spark, [[0] * 16 + [1] * 16 for _ in range(32)])
     assert errors.edges(px).where("edge").count() == 64
     assert errors.edges(raster(spark, [[2] * 5] * 5)).where("edge").count() == 0
+    rng = random.Random(4)
+    grid = [[rng.choice([0, 1, 1, 1, None]) for _ in range(23)] for _ in range(19)]
+    for size, block in ((3, 128), (3, 4), (5, 4), (5, 3)):  # squares smaller than the raster, and little larger than the window
+        got = {(r["row"], r["col"]): r["edge"] for r in errors.edges(raster(spark, grid), size=size, block=block).collect()}
+        p = size // 2
+        near = lambda i, j: {grid[a][b] for a in range(max(0, i - p), min(19, i + p + 1)) for b in range(max(0, j - p), min(23, j + p + 1))}  # noqa: B023, E731
+        assert got == {(i, j): len(near(i, j) - {None}) > 1 for i in range(19) for j in range(23) if grid[i][j] is not None}
 
 
 def test_grid_and_mosaic(spark):

@@ -41,6 +41,10 @@ def test_spark_source_and_metadata(spark, tmp_path):
     df = spark.read.format("geotiff").option("blocksPerPartition", 1).load(str(p))
     assert df.count() == 1024 and df.where("v IS NULL").count() == 1 and df.rdd.getNumPartitions() == 4
     assert df.where("row = 31 AND col = 31").first()[1:] == (1, 31, 31, 315.0, 5.0, 3.0)
+    part = spark.read.format("geotiff").option("blocksPerPartition", 1).load(str(p)).where("y BETWEEN 100 AND 180 AND col >= 3 AND band = 1")
+    assert part.rdd.getNumPartitions() < df.rdd.getNumPartitions()
+    assert sorted(part.collect()) == sorted(df.where("band = 1").where("y BETWEEN 100 AND 180 AND col >= 3").collect())
+    assert df.where("x < -1").count() == 0
     m = geotiff.metadata(spark, [str(p)]).first()
     assert (m["east"], m["width"], m["crs"]) == (320.0, 32, "EPSG:32610")
     assert geotiff.list_files(spark, str(tmp_path))[0].endswith("r.tif")
