@@ -12,9 +12,9 @@ A byte goes if it is covered by a string of ``SPAN`` bytes that starts anywhere
    stands nowhere else cannot repeat. Only what is left, anchors with differing
    contexts, goes on: its bytes are fetched by a join with the documents and dealt into
    shards by anchor.
-3. Each shard is a text of contexts whose suffixes are sorted by ``suffix_order``: induced
-   sorting with queues on disk, over runs of bounded size; neighbours in suffix order with a common prefix
-   of SPAN bytes or more are repeats.
+3. Each shard is a text of contexts whose suffixes are sorted by induced sorting; the queues,
+   on disk beyond a few megabytes, carry each suffix with its common prefix. Neighbours
+   in suffix order with a common prefix of SPAN bytes or more are repeats.
    An anchor with more than HOT differing contexts is not gathered in one task: its windows are
    compared by two 64-bit digests instead, spread over all tasks.
 4. Repeated runs come back to their document, which is cut and hashed.
@@ -217,25 +217,20 @@ def repeated_windows(data: np.ndarray, off: np.ndarray, span: int = SPAN) -> np.
     at = off[:-1] + np.arange(len(size))  # a separator after each context
     text[_bytes.ranges(at, size)] = data.astype(np.int16) + 2
     text[-1] = 0
-    raw = np.concatenate((np.minimum(text - 2, 255).astype(np.uint8), np.zeros(span + 8, np.uint8)))
     window = np.zeros(len(text), bool)
     window[_bytes.ranges(at, np.maximum(size - span + 1, 0))] = True
     out = np.zeros(len(text), bool)
     folder = tempfile.mkdtemp(prefix="suffix-")
     try:
-        last = None
-        for run in _induced.suffix_runs(text, folder, span):
-            run = run[window[run]]
-            if not len(run):
-                continue
-            a = run if last is None else np.concatenate(([last], run))
-            same = _induced.common_prefix(raw, a[:-1], a[1:], span) >= span
-            out[a[:-1][same]] = True
-            out[a[1:][same]] = True
+        last = 0
+        for run, prefix in _induced.suffix_runs(text, folder, span):
+            same = prefix >= span
+            out[run[same]] = True
+            out[np.append(last, run[:-1])[same]] = True
             last = run[-1]
     finally:
         shutil.rmtree(folder, ignore_errors=True)
-    return out[_bytes.ranges(at, size)]
+    return (out & window)[_bytes.ranges(at, size)]  # what matches over a separator is no window
 
 
 def repeats(ctx: DataFrame) -> DataFrame:

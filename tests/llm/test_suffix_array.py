@@ -61,6 +61,25 @@ def test_repeated_and_null_ids_and_empty_table(spark):
     assert suffix_array.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_a_shard_of_several_times_the_memory_bound_goes_to_disk(tmp_path):
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 105, rng.integers(2, 9)).astype(np.uint8)) + b" " for _ in range(500)]
+    body = b"".join(words[i] for i in rng.integers(0, 500, 700_000))
+    body += body[1000:1700] + body[50_000:50_199] + body[7:207]
+    text = np.append(np.frombuffer(body, np.uint8).astype(np.int16) + 2, np.int16(0))
+    spills, n, repeated, last = [], 0, np.zeros(len(text), bool), 0
+    for run, prefix in _induced.suffix_runs(text, str(tmp_path), 200, spills):
+        same = prefix >= 200
+        repeated[run[same]] = repeated[np.append(last, run[:-1])[same]] = True
+        last, n = run[-1], n + len(run)
+    assert 8 * len(text) > 3 * _induced.MEMORY and min(spills[:2]) > 0 and n == len(text)
+    seen = {}
+    for i in range(len(body) - 199):
+        seen.setdefault(hash(body[i : i + 200]), []).append(i)
+    assert np.flatnonzero(repeated).tolist() == sorted(i for v in seen.values() if len(v) > 1 for i in v)
+    assert not list(tmp_path.iterdir())
+
+
 @pytest.mark.parametrize("memory", [96 << 20, 64])
 @pytest.mark.parametrize("kinds", [2, 5, 200])
 def test_suffix_order(tmp_path, monkeypatch, memory, kinds):
@@ -72,8 +91,14 @@ def test_suffix_order(tmp_path, monkeypatch, memory, kinds):
         if n > 10:
             text[5:30] = text[5]
             text[-20:-1] = text[:19]
-        got = np.concatenate(list(_induced.suffix_runs(text, str(tmp_path), 10**6)))
-        assert got.tolist() == sorted(range(n + 1), key=lambda i: text[i:].tolist())
+        right = sorted(range(n + 1), key=lambda i: text[i:].tolist())
+        shared = [0] + [next(k for k in range(n + 2) if text[a + k] != text[b + k]) for a, b in zip(right[:-1], right[1:])]
+        got, prefix = (np.concatenate(x) for x in zip(*_induced.suffix_runs(text, str(tmp_path), 10**6)))
+        assert got.tolist() == right and prefix.tolist() == shared
+        for depth in (1, 4, 9, 300):  # up to a depth: the same classes, the same prefixes
+            got, prefix = (np.concatenate(x) for x in zip(*_induced.suffix_runs(text, str(tmp_path), depth)))
+            assert prefix.tolist() == [min(depth, x) for x in shared]
+            assert [text[i : i + depth].tolist() for i in got] == [text[i : i + depth].tolist() for i in right]
     assert not list(tmp_path.iterdir())
 
 
