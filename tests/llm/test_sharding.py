@@ -38,3 +38,21 @@ def test_groups_slots_and_edges(spark):
     rest = sorted(loads)[:-1]  # one text is larger than a fair share and stands alone
     assert max(loads) == 100_008 and max(rest) - min(rest) < 0.02 * max(rest)
     assert sharding.shard_by_bytes(df.limit(0)).count() == 0
+
+
+def test_repeated_and_null_ids_against_differencing_of_every_group(spark):
+    texts = [f"w{i} " * (i * 37 % 101 + 1) for i in range(3000)]
+    rows = [(i % 1500 if i % 10 else None, t) for i, t in enumerate(texts)] + [(7, "twin"), (7, "twin"), (None, "twin"), (None, None), (None, "")]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    key = lambda i, t: (i is None, i or 0, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert sorted((r["id"] is None, r["id"] or 0, r["size"], r["text_crc32"]) for r in got) == sorted(key(*r) for r in rows)
+    sizes, loads, exact = {}, [0] * 24, [0] * 24
+    for _, t in rows:
+        sizes[t or ""] = sizes.get(t or "", 0) + len((t or "").encode()) + 8
+    for r in got:
+        loads[r["shard"]] += r["size"]
+    for s, k in zip(sizes.values(), sharding.difference(list(sizes.values()), 24)):
+        exact[k] += s
+    assert sum(loads) == sum(exact)
+    assert max(loads) - min(loads) <= max(exact) - min(exact) + 100  # grains of several groups cost 100 bytes at most here
+    assert {len({r["shard"] for r in got if r["text_crc32"] == zlib.crc32(t)}) for t in (b"twin", b"")} == {1}
