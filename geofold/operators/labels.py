@@ -118,9 +118,16 @@ def bounds(labels: DataFrame) -> DataFrame:
     return labels.agg(F.min("x").alias("west"), F.min("y").alias("south"), F.max("x").alias("east"), F.max("y").alias("north"))
 
 
+def _mean(p: str):
+    """Mean of the decimals that doubles are written as, summed exactly: the same in any order of the rows. Values that 18 places can't hold (NaN, infinite, huge) leave it to ``avg``."""
+    d = F.col(p).try_cast("decimal(38,18)")
+    exact = F.when((F.count(d) == F.count(p)) & (F.count(d) > 0), F.try_sum(d) / F.count(d)).cast("double")
+    return F.coalesce(exact, F.avg(p))
+
+
 def dynamic_world(observations: DataFrame, probs: list[str], per_class: int, confidence: float, seed: int = 42) -> DataFrame:
     """Label points from dated observations (px, x, y, label, probabilities): the most frequent label, the largest mean probability, n a class by hash, then the confidence filter."""
-    pixel = observations.groupBy("px").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.mode("label", True).alias("label"), *[F.avg(p).alias(p) for p in probs])
+    pixel = observations.groupBy("px").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.mode("label", True).alias("label"), *[_mean(p).alias(p) for p in probs])
     named = pixel.select("px", "x", "y", lookup(DYNAMIC_WORLD, "label").alias("lc_class"), F.greatest(*probs).alias("confidence"), F.col("label").alias("source_class"))
     return per_class_sample(named, per_class, seed).where(F.col("confidence") >= confidence).withColumn("source", F.lit("dynamic_world"))
 

@@ -180,6 +180,16 @@ def test_thinning_keeps_the_first(spark):
     assert rows == [(0, 1), (1, 2), (2, 3), (4, 5)]
 
 
+def test_mean_confidence_is_the_same_in_any_order(spark):
+    values = [0.93, 0.51, 0.2, 0.16]  # 0.45 on average; summed as doubles in this order less, in the other not
+    for rows in (values, values[::-1]):
+        obs = frame(spark, [(1, 0.0, 0.0, 1, p) for p in rows], "px long, x double, y double, label int, p double").withColumn("q", F.lit(0.1)).coalesce(1)
+        assert [r["confidence"] for r in labels.dynamic_world(obs, ["p", "q"], 9, 0.45).collect()] == [0.45]
+    odd = frame(spark, [(1, 0.0, 0.0, 1, float("nan")), (1, 0.0, 0.0, 1, 0.5), (2, 0.0, 0.0, 1, None), (3, 0.0, 0.0, 1, 0.75), (3, 0.0, 0.0, 1, None)], "px long, x double, y double, label int, p double")
+    got = {r["px"]: r["confidence"] for r in labels.dynamic_world(odd.withColumn("q", F.lit(0.1)), ["p", "q"], 9, 0.45).collect()}
+    assert got.pop(1) != 0.5 and got == {3: 0.75}
+
+
 def test_validation_issues(spark):
     pts = frame(spark, [(1, 0.0, 0.0, "water", 0), (2, 1.0, 1.0, "water", 0)], "point_id long, x double, y double, lc_name string, lc_class int")
     issues = [r["issue"] for r in labels.validate(pts, (0.0, 0.0, 9.0, 9.0)).orderBy("pos").collect()]
