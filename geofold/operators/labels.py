@@ -49,23 +49,40 @@ def validate(points: DataFrame, aoi: tuple[float, float, float, float] | None =
 def thin(points: DataFrame, distance: float) -> DataFrame:
     """Points of (point_id, x, y, ...) such that no two kept ones are closer than ``distance``; the smaller id stays.
 
-    Rounds over all cells at once: a point is kept once no undecided point near it has a smaller id, and its neighbours
-    go. The result is that of the one-by-one scan in id order; rounds end when every
-    point is decided.
+    The result is that of the one-by-one scan in id order, found in rounds over all cells of 0.7 times the distance,
+    which hold one kept point at most: a cell's undecided point of smallest id is kept once no undecided point near it
+    has a smaller id, and all points near it go. So a round compares each point with 25 others at most, however many
+    are near it. Rounds end when every point is decided. Points of one id are taken in order of x and y; those equal in
+    all three are one point. Points without an id or with coordinates that are not finite are near none and stay.
     """
-    pairs = duplicate_pairs(points, distance).persist()
-    dropped = pairs.select(F.col("b").alias("point_id")).limit(0)
-    try:
-        while True:
-            live = pairs.join(dropped.withColumnRenamed("point_id", "a"), "a", "left_anti").join(dropped.withColumnRenamed("point_id", "b"), "b", "left_anti")
-            blocked = live.select(F.col("b").alias("a")).distinct()
-            gone = live.join(blocked, "a", "left_anti").select(F.col("b").alias("point_id")).distinct()
-            if gone.isEmpty():
-                return points.join(dropped, "point_id", "left_anti")
-            both = dropped.union(gone).distinct()
-            dropped = both.checkpoint() if _has_checkpoints(points) else both.persist()
-    finally:
-        pairs.unpersist()
+    if not distance * distance > 0:
+        return points
+    cell = [F.floor(F.col(c) / (0.7 * distance)).cast("long").alias(f"c{c}") for c in ("x", "y")]
+    placed = F.col("point_id").isNotNull() & (F.abs(F.col("x").cast("double")) < float("inf")) & (F.abs(F.col("y").cast("double")) < float("inf"))
+    # of points in one place the first decides: what is near it is near the others
+    live = points.where(placed).groupBy(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).agg(F.min("point_id").alias("id"))
+    live = _held(live.select(F.struct("id", "x", "y").alias("p"), *cell))
+    dx, dy = F.col("p.x") - F.col("m.x"), F.col("p.y") - F.col("m.y")
+    close = (F.col("cx") == F.col("mx")) & (F.col("cy") == F.col("my")) & (dx * dx + dy * dy < distance * distance)
+    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(-2, 3) for j in range(-2, 3)]))
+    spread = lambda t: t.select("m", "cx", "cy", around.alias("s")).select("m", (F.col("cx") + F.col("s.i")).alias("mx"), (F.col("cy") + F.col("s.j")).alias("my"))
+    kept, rounds = live.select(F.col("p").alias("m")).limit(0), 0
+    while not live.isEmpty():
+        first = live.groupBy("cx", "cy").agg(F.min("p").alias("m"))
+        blocked = live.join(spread(first), close & (F.col("p") < F.col("m"))).select("m").distinct()
+        new = _held(first.join(blocked, "m", "left_anti"))
+        live = _held(live.join(spread(new), close, "left_anti"))
+        kept, rounds = kept.union(new.select("m")), rounds + 1
+        if rounds % 8 == 0:
+            kept = _held(kept)
+    stay = kept.select(F.col("m.id").alias("id_"), F.col("m.x").alias("x_"), F.col("m.y").alias("y_"))
+    out = points.join(stay, (F.col("point_id") == F.col("id_")) & (F.col("x").cast("double") == F.col("x_")) & (F.col("y").cast("double") == F.col("y_")), "left")
+    return out.where(F.col("id_").isNotNull() | ~F.coalesce(placed, F.lit(False))).select(*points.columns)
+
+
+def _held(df: DataFrame) -> DataFrame:
+    """``df`` computed once, its plan cut off: in the checkpoint folder, or in the executors where none is set."""
+    return df.checkpoint() if _has_checkpoints(df) else df.localCheckpoint()
 
 
 def _has_checkpoints(df: DataFrame) -> bool:

@@ -180,6 +180,26 @@ def test_thinning_keeps_the_first(spark):
     assert rows == [(0, 1), (1, 2), (2, 3), (4, 5)]
 
 
+def test_thinning_of_crowds_lists_no_pairs(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("all pairs of a crowd")
+
+    monkeypatch.setattr(labels, "duplicate_pairs", refuse)
+    draw = random.Random(5)
+    pts = [(i, draw.choice([float(draw.randrange(-9, 9)), draw.uniform(-30, 30)]), draw.uniform(-8, 8)) for i in draw.sample(range(4, 9000), 3000)]
+    pts += [(9000 + i, 100.0 + 2 * i, 0.0) for i in range(12)]  # a chain: each is decided by the one before
+    want = []
+    for i, x, y in sorted(pts):
+        if all((x - u) * (x - u) + (y - v) * (y - v) >= 9.0 for _, u, v in want):
+            want.append((i, x, y))
+    odd = [(1, None, 0.0), (2, float("nan"), 0.0), (None, 0.0, 0.0), (3, float("inf"), 0.0)]
+    df = frame(spark, pts + odd, "point_id long, x double, y double")
+    got = [tuple(r) for r in labels.thin(df, 3.0).collect()]
+    assert sorted(r for r in got if r[0] not in (1, 2, 3, None)) == want
+    assert len(got) == len(want) + len(odd)
+    assert labels.thin(df, 0.0).count() == len(pts) + len(odd)
+
+
 def test_mean_confidence_is_the_same_in_any_order(spark):
     values = [0.93, 0.51, 0.2, 0.16]  # 0.45 on average; summed as doubles in this order less, in the other not
     for rows in (values, values[::-1]):
