@@ -161,7 +161,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: st
                         hit_items.setdefault(rr, set()).update(index.value.windows[window])
                     yield finish(b.slice(lo, hi - lo), names, row, mask, hit_items)
 
-        out = state.mapInArrow(run, ended)
+        out = state.mapInArrow(_bytes.lean(run), ended)
     return out.toDF(*keep, *[c.split()[0] for c in FOUND.replace(">>", "").split(", ")])
 
 
@@ -228,7 +228,7 @@ def _joined(state: DataFrame, tests: DataFrame, names: list[str], ended) -> Data
                         items[i] = set(mine)
                 yield finish(some, names, row, np.cumsum(edge)[:-1] > 0, items)
 
-    return rows.join(hits, F.col("rid") == F.col("of"), "left").select(*names, "text", "places", "items").mapInArrow(run, ended)
+    return rows.join(hits, F.col("rid") == F.col("of"), "left").select(*names, "text", "places", "items").mapInArrow(_bytes.lean(run), ended)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:

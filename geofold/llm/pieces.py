@@ -298,7 +298,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: list[str] | None = Non
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(keep))], ids, pa.array(coder._exact(data, off, flat, at))], names=out.names)
 
-    return picked.mapInArrow(run, out).toDF(*keep, "piece_ids", "exact")
+    return picked.mapInArrow(_bytes.lean(run), out).toDF(*keep, "piece_ids", "exact")
 
 
 def decode(df: DataFrame, ids_col: str = "piece_ids", to: str = "decoded", model: str = MODEL) -> DataFrame:

@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = [fold(*shingle_hashes(data, off)) for _, _, data, off in _bytes.pieces(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(fp or [np.zeros(0, np.uint64)]).view(np.int64))], ["id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(_bytes.lean(run), "id long, fp long")
 
 
 def gray_rank(col):
@@ -168,7 +168,7 @@ def links(classes: DataFrame, bits: int = BITS) -> DataFrame:
         .select("k.mask", "k.key", "fp", "rep")
         .repartition("mask", "key")
         .sortWithinPartitions("mask", "key", gray_rank(F.col("fp")))
-        .mapInArrow(search, "a long, b long")
+        .mapInArrow(_bytes.lean(search), "a long, b long")
     )
 
 
@@ -321,7 +321,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, n: int = WORDS) ->
                 h, at = distinct(*shingle_hashes(data, off, n))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(h.view(np.int64)))], ["id", "sh"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(run, "id long, sh array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).mapInArrow(_bytes.lean(run), "id long, sh array<long>")
 
 
 def _text(text_col: str):
@@ -371,7 +371,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
                 )
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), _key(text_col).alias("th"), _text(text_col).alias("t"))
-    fps = _store.written(texts.mapInArrow(run, "id long, th long, fp long, size int, bits binary, bands array<long>"), "simhash-fp")
+    fps = _store.written(texts.mapInArrow(_bytes.lean(run), "id long, th long, fp long, size int, bits binary, bands array<long>"), "simhash-fp")
     low = _store.written(fps.groupBy("th").agg(F.min("id").alias("low"), F.first("fp").alias("fp")), "simhash-class")
     shared = fps.select("th", F.posexplode("bands").alias("band", "key"))
     several = shared.groupBy("band", "key").agg(F.min("th").alias("lo"), F.max("th").alias("hi")).where("lo < hi").select("band", "key")
@@ -418,7 +418,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
         dealt = open_.join(units, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
         dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
         out = dealt.select("band", "key", "i", "j", "component", "th", "size", "block", "bits").repartition("band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j", "component")
-        out = _store.written(out.mapInArrow(search, "a long, b long").distinct(), "simhash-rest")
+        out = _store.written(out.mapInArrow(_bytes.lean(search), "a long, b long").distinct(), "simhash-rest")
         _store.forget(open_)
         return out
 

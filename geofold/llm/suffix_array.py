@@ -107,7 +107,7 @@ def units(docs: DataFrame) -> DataFrame:
                     held, size = [], 0
         yield from settle(held)
 
-    return docs.mapInArrow(run, UNIT)
+    return docs.mapInArrow(_bytes.lean(run), UNIT)
 
 
 def settle(held):
@@ -180,7 +180,7 @@ def contexts(keyed: DataFrame, probes: DataFrame) -> DataFrame:
                 )
 
     joined = keyed.join(wanted.withColumnsRenamed({"id": "i2", "t": "t2"}), F.col("id").eqNullSafe(F.col("i2")) & (F.col("t") == F.col("t2")))
-    return joined.select("id", "t", "text", "units").mapInArrow(run, "h long, id long, t long, start int, need boolean, hot boolean, context binary")
+    return joined.select("id", "t", "text", "units").mapInArrow(_bytes.lean(run), "h long, id long, t long, start int, need boolean, hot boolean, context binary")
 
 
 def crowded_windows(ctx: DataFrame) -> DataFrame:
@@ -207,7 +207,7 @@ def crowded_windows(ctx: DataFrame) -> DataFrame:
                 held, size = [], 0
         yield from settle(held)
 
-    return ctx.select("id", "t", "start", "context").mapInArrow(run, UNIT)
+    return ctx.select("id", "t", "start", "context").mapInArrow(_bytes.lean(run), UNIT)
 
 
 def repeated_windows(data: np.ndarray, off: np.ndarray, span: int = SPAN) -> np.ndarray:
@@ -259,7 +259,7 @@ def repeats(ctx: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return ctx.repartition("h").sortWithinPartitions("h").mapInArrow(run, "id long, t long, start int, n int")
+    return ctx.repartition("h").sortWithinPartitions("h").mapInArrow(_bytes.lean(run), "id long, t long, start int, n int")
 
 
 CUT = "n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
@@ -310,7 +310,7 @@ def cut_rows(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col:
     out = joined.drop("text", "runs").schema
     for f in T._parse_datatype_string(CUT).fields:
         out = out.add(f)
-    return joined.mapInArrow(cut, out).toDF(*keep, *[c.split()[0] for c in CUT.split(", ")])
+    return joined.mapInArrow(_bytes.lean(cut), out).toDF(*keep, *[c.split()[0] for c in CUT.split(", ")])
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:

@@ -276,7 +276,7 @@ def unlike(texts: DataFrame) -> DataFrame:
                     out.append(int(mine.min().view(np.int64)) if len(mine) else int(row[r + 1] - row[r]))
             yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array(out, pa.int64())], ["text", "y", "sig"])
 
-    signed = texts.select("text", "y").mapInArrow(run, "text string, y int, sig long")
+    signed = texts.select("text", "y").mapInArrow(_bytes.lean(run), "text string, y int, sig long")
     return signed.groupBy("sig", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
@@ -345,7 +345,7 @@ def fit(docs: DataFrame, labels: DataFrame, keep, id_col: str = "doc_id", text_c
                 kind = pa.list_(pa.struct([("w", pa.float64()), ("core", pa.binary()), ("quoted", pa.bool_()), ("around", pa.float64())]))
                 yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi], pa.int32()), pa.array(words, kind)], ["y", "hits"])
 
-    seen = texts.mapInArrow(run, "y int, hits array<struct<w:double,core:binary,quoted:boolean,around:double>>")
+    seen = texts.mapInArrow(_bytes.lean(run), "y int, hits array<struct<w:double,core:binary,quoted:boolean,around:double>>")
     # one small row for each combination: rows without hits are only counted
     rows = seen.groupBy("y", "hits").count().limit(SAMPLE).collect()
     ordinary = frozenset(bytes(h["core"]) for r in rows if r["y"] == 0 for h in r["hits"] if h["w"] < 1)
@@ -374,7 +374,7 @@ def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text"
             s = [shared.value.score(data, off) for _, _, data, off in _bytes.pieces(b.column("t"))]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in range(len(keep))], pa.array(np.concatenate([*s, np.zeros(0)]))], names=out.names)
 
-    return picked.mapInArrow(run, out).toDF(*keep, "score")
+    return picked.mapInArrow(_bytes.lean(run), out).toDF(*keep, "score")
 
 
 def held_out(id_col: str = "doc_id"):
